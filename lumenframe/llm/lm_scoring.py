@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,7 +164,8 @@ def score(docs: DataFrame, training: DataFrame, in_training, extra: list[str] |
 
     def gather(batches: Iterator[pa.RecordBatch]):
         rows, table = model.value
-        state = {"words": {}, "docs": [], "cols": [], "size": 0}
+        state = {"words": {}, "docs": [], "cols": [], "size": 0, "n": 0}
+
         def flush():
             words, got = state["words"], state["docs"]
             if not got:
@@ -174,14 +176,12 @@ def score(docs: DataFrame, training: DataFrame, in_training, extra: list[str] |
             place[order] = np.arange(len(order))
             hashes = hashes[order]
             train = np.zeros(len(order), dtype=np.int64)
-            first = xxhash.xxh3_64()
-            for ids, n, learn, s, nb in got:
+            for ids, n, learn, _, _ in got:
                 if learn:
                     train[place[ids]] += n
-                first.update(ids.tobytes())
-                first.update(repr(s).encode())
-            first.update(repr(state["cols"][0].column(0)[0]).encode())
-            block = first.intdigest() >> 1
+            # The table is written before anything reads it, so a task that runs anew may number its blocks anew.
+            block = TaskContext.get().partitionId() << 24 | state["n"]
+            state["n"] += 1
             # One row for each document: its words' places in the block, and how often each occurs.
             cols = pa.Table.from_batches(state["cols"])
             out = [pa.array([block] * len(got), type=pa.int64()), pa.nulls(len(got), pa.int32())]
