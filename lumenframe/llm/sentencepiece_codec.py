@@ -40,7 +40,7 @@ from .common import plain
 SPACE = "▁"
 SHORT = 40
 #: Segments whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = 1 << 62
 
@@ -249,8 +249,8 @@ def _ids(path: list, base: int, end: int) -> list[int]:
     return [x for part in reversed(parts) for x in part]
 
 
-def lattice(pieces: Pieces, words: list[str]) -> list[np.ndarray]:
-    """Ids of many short segments at once; every character is in the vocabulary."""
+def lattice(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many short segments, one after the other, and how many each has; every character is in the vocabulary."""
     n, lens = len(words), np.array([len(w) for w in words])
     width = int(lens.max())
     codes = np.zeros((n, width), dtype=np.uint64)
@@ -289,38 +289,49 @@ def lattice(pieces: Pieces, words: list[str]) -> list[np.ndarray]:
                 w, p, s, total = w[order], p[order], s[order], total[order]
                 top = np.flatnonzero(np.r_[w[1:] != w[:-1], True]) if len(w) else order
                 last[w[top], j], start[w[top], j], score[w[top], j] = p[top], s[top], total[top]
-    out, at, live = [[] for _ in range(n)], lens.copy(), np.arange(n)
-    back = []
+    at, live, back = lens.copy(), np.arange(n), []
     while len(live):
         back.append((live, last[live, at[live]]))
         at[live] = start[live, at[live]]
         live = live[at[live] > 0]
-    for live, p in reversed(back):
-        for w, x in zip(live.tolist(), p.tolist()):
-            out[w].append(x)
-    return [np.array(x, dtype=np.int32) for x in out]
+    counts = np.bincount(np.concatenate([w for w, _ in back]), minlength=n)
+    ends = np.cumsum(counts)
+    ids = np.zeros(int(ends[-1]), dtype=np.int32)
+    for k, (w, p) in enumerate(back):
+        ids[ends[w] - 1 - k] = p
+    return ids, counts
 
 
 class Codec:
     """Encodes and decodes whole texts; remembers the ids of segments."""
 
     def __init__(self, pieces: Pieces):
-        self.p, self.at, self.flat = pieces, {}, []
+        self.p = pieces
+        self._forget()
         other = "".join(re.escape(c) for c in sorted(c for c in self._foreign()))
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{other}]+|{SPACE}+|[{other}]" if other else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def _forget(self) -> None:
+        """at: number of each known segment; its ids are flat[start : start + count]."""
+        self.at: dict[str, int] = {}
+        self.flat, self.start, self.count = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
     def _foreign(self) -> set[str]:
         return {c for c in "\n\t\r" if c not in self.p.known}
 
     def _learn(self, words: list[str]) -> None:
-        short = [w for w in words if len(w) <= SHORT and SPACE * 2 not in w and all(c in self.p.known for c in w)]
-        done = dict(zip(short, lattice(self.p, short))) if short else {}
-        for w in words:
-            ids = done.get(w)
-            if ids is None:
-                ids = np.array(self._long(w), dtype=np.int32)
-            self.at[w] = len(self.flat)
-            self.flat.append(ids)
+        known = self.p.known
+        short = [w for w in words if len(w) <= SHORT and known.issuperset(w) and SPACE * 2 not in w]
+        flat, count = lattice(self.p, short) if short else (self.flat[:0], self.count[:0])
+        if len(short) < len(words):
+            others = set(words).difference(short)
+            more = [self._long(w) for w in others]
+            short += others
+            flat = np.concatenate([flat, np.array([x for ids in more for x in ids], dtype=np.int32)])
+            count = np.concatenate([count, np.array([len(ids) for ids in more], dtype=np.int64)])
+        self.at.update(zip(short, range(len(self.at), len(self.at) + len(short))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
+        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
 
     def _long(self, w: str) -> list[int]:
         if SPACE * 2 in w and self.p.bpe:
@@ -337,17 +348,19 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin (one more entry than texts)."""
-        if len(self.flat) > REMEMBERED:
-            self.at, self.flat = {}, []
+        if len(self.at) > REMEMBERED:
+            self._forget()
         cut = [self.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.at}
+        words = [w for ws in cut for w in ws]
+        new = set(words).difference(self.at)
         if new:
             self._learn(list(new))
-        at = self.at
-        order = [[at[w] for w in ws] for ws in cut]
-        flat = [self.flat[i] for ws in order for i in ws]
-        counts = np.array([sum(len(self.flat[i]) for i in ws) for ws in order], dtype=np.int64)
-        return (np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)), np.r_[0, np.cumsum(counts)]
+        index = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
+        counts = self.count[index]
+        ends = np.cumsum(counts)
+        flat = self.flat[np.repeat(self.start[index] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        at = np.r_[0, np.cumsum([len(ws) for ws in cut])].astype(np.int64)
+        return flat, np.r_[0, ends][at]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.p.bytes_of.__getitem__, ids))
