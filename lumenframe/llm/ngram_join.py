@@ -89,7 +89,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def _pieces(batches, chars: int = 3_000_000):
+def _pieces(batches, chars: int = 1_000_000):
     """(ids, texts) of about so many characters."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()

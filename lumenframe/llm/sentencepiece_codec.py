@@ -378,7 +378,7 @@ def _worker_codec(model: dict) -> Codec:
     return _codec[key]
 
 
-def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 1_000_000) -> DataFrame:
     """id, n_ids, ids, n_bytes and round_trip (the decoded ids give the text); one row for each input row."""
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # the size of the vocabulary file
 
@@ -401,5 +401,6 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
                     names=["doc_id", "n_ids", "ids", "n_bytes", "round_trip"],
                 )
                 lo = hi
+        codec._forget()  # the worker may serve other operators next
 
     return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, n_bytes long, round_trip boolean")
