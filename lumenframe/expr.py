@@ -30,7 +30,8 @@ class Env:
         self.scalars: dict[str, Column] = {}
 
     def type_of(self, c: Column) -> str:
-        return self.df.select(c.alias("c")).dtypes[0][1]
+        df = self.df.crossJoin(self.df.agg(*[x.alias(k) for k, x in self.scalars.items()])) if self.scalars else self.df
+        return df.select(c.alias("c")).dtypes[0][1]  # analysed only, never run
 
     def is_float(self, e: Expr, c: Column) -> bool:
         t = self.types.get(e.root) if e.root else None
