@@ -138,27 +138,26 @@ def votes(t: str, kind: str, s: int, e: int) -> tuple[int, ...]:
 
 
 def expectation_maximisation(patterns: dict[tuple, int], rounds: int = 40) -> dict[tuple, float]:
-    """The posterior of each (kind, votes...) pattern; labelers err independently, kinds differ in how common personal data is."""
+    """The posterior of each (kind, votes...) pattern.
+
+    A labeler that votes is right with a probability of its own, whichever way it
+    votes, and at least a little better than chance, so the classes cannot change
+    places; labelers err independently; kinds differ in how common personal data is.
+    """
     if not patterns:
         return {}
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], dtype=np.float64)
     kind = np.array([(KINDS + MORE).index(k[0]) for k in keys])
     v = np.array([k[1:] for k in keys])
-    p = np.clip(0.5 + 0.15 * v.sum(axis=1), 0.05, 0.95)  # start from the majority
-    p[kind < len(KINDS)] = 0.98
+    given = kind < len(KINDS)  # base spans are personal data by definition
+    p = np.where(given, 1.0, 1 / (1 + np.exp(-v.sum(axis=1))))  # start from the majority
     for _ in range(rounds):
-        total = np.bincount(kind, n, minlength=9) + 2
-        prior = (np.bincount(kind, n * p, minlength=9) + 1) / total
-        logit = np.log(prior[kind] / (1 - prior[kind]))
-        for j in range(v.shape[1]):
-            for value in (-1, 0, 1):
-                hit = v[:, j] == value
-                yes = ((n * p)[hit].sum() + 0.5) / ((n * p).sum() + 1.5)
-                no = ((n * (1 - p))[hit].sum() + 0.5) / ((n * (1 - p)).sum() + 1.5)
-                logit[hit] += math.log(yes / no)
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        p[kind < len(KINDS)] = np.maximum(p[kind < len(KINDS)], 0.98)  # base spans are given
+        prior = (np.bincount(kind, n * p, minlength=9) + 1) / (np.bincount(kind, n, minlength=9) + 2)
+        right = (np.where(v > 0, p[:, None], 1 - p[:, None]) * (v != 0) * n[:, None]).sum(axis=0)
+        accuracy = np.clip((right + 4) / (((v != 0) * n[:, None]).sum(axis=0) + 5), 0.55, 0.99)
+        logit = np.log(prior[kind] / (1 - prior[kind])) + v @ np.log(accuracy / (1 - accuracy))
+        p = np.where(given, 1.0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
     return {k: float(x) for k, x in zip(keys, p)}
 
 
