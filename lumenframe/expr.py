@@ -241,14 +241,16 @@ class Expr:
     def is_first_distinct(self): return self._win(lambda env, c: F.row_number().over(Window.partitionBy(*env.parts, c).orderBy(*env.order)) == 1)
     def is_last_distinct(self): return self._win(lambda env, c: F.lead(F.lit(1)).over(Window.partitionBy(*env.parts, c).orderBy(*env.order)).isNull())
 
-    def _rolling(self, size: int, fn: Callable[[Column], Column], strict: bool, minimum: int | None, order: Expr | None = None) -> Expr:
+    def _rolling(self, size: int, fn: Callable[[Column], Column] | float, strict: bool, minimum: int | None, order: Expr | None = None) -> Expr:
+        # A number stands for a quantile: those take no window frame, so they come from the frame's sorted values.
         def build(env: Env, c: Column) -> Column:
             is_float = env.is_float(self, c)
             w = env.window() if order is None else Window.partitionBy(*(env.parts or [F.lit(0)])).orderBy(order.build(env), *env.order)
             w = w.rowsBetween(-(size - 1), 0)
             x = S.nan_to_null(c, is_float) if strict else c
             need = minimum if minimum is not None else (size if strict else 1)
-            return F.when(F.count(x).over(w) >= need, fn(x).over(w))
+            value = S.array_quantile(F.collect_list(x).over(w), fn) if isinstance(fn, float) else fn(x).over(w)
+            return F.when(F.count(x).over(w) >= need, value)
 
         return self._win(build)
 
@@ -406,13 +408,13 @@ for _n, _f in {"bitwise_and": "bitwiseAND", "bitwise_or": "bitwiseOR", "bitwise_
     setattr(Expr, _n, lambda self, o, m=_f: self._map(lambda a, b: getattr(a, m)(b), o))
 
 #: Rolling aggregates. Expression form: at least one value; Series form (strict): a full window, NaN left out.
-ROLLING: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "median": F.median, "skew": F.skewness, "kurtosis": F.kurtosis}
+ROLLING: dict[str, Callable[[Column], Column] | float] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "median": 0.5, "skew": F.skewness, "kurtosis": F.kurtosis}
 for _n, _f in ROLLING.items():
     setattr(Expr, f"rolling_{_n}", lambda self, size, strict=False, min_periods=None, f=_f, n=_n: self._rolling(size, {"std": F.stddev_samp, "var": F.var_samp}.get(n, f) if strict else f, strict or n in ("min", "max"), min_periods if min_periods is not None else (size if strict else 1)))
     setattr(Expr, f"rolling_{_n}_by", lambda self, by, size, min_periods=None, f=_f, n=_n: self._rolling(size, {"std": F.stddev_samp, "var": F.var_samp}.get(n, f), True, min_periods, wrap(by)))
 Expr.rolling = Expr.rolling_mean
-Expr.rolling_quantile = lambda self, size, q, strict=True: self._rolling(size, lambda c: F.percentile(c, q), strict, None)
-Expr.rolling_quantile_by = lambda self, by, size, q: self._rolling(size, lambda c: F.percentile(c, q), True, None, wrap(by))
+Expr.rolling_quantile = lambda self, size, q, strict=True: self._rolling(size, float(q), strict, None)
+Expr.rolling_quantile_by = lambda self, by, size, q: self._rolling(size, float(q), True, None, wrap(by))
 
 #: Names of the engine's types.
 TYPES = {"Int64": "bigint", "Float64": "double", "String": "string", "Boolean": "boolean", "Datetime": "timestamp_ntz", "Binary": "binary", "Decimal": "decimal(38,10)", "Categorical": "string", "Enum": "string", "Duration": "interval day to second"}

@@ -463,7 +463,7 @@ class Frame:
         return {"rows": n, "seconds": time.time() - t, "plan": self.explain("simple")}
 
     # sinks: see sources.io ----------------------------------------------------------------------
-    def write_csv(self, path: str, header: bool = True, separator: str = ",", single: bool = False): return io().write(self, path, "csv", single, header=header, sep=separator)
+    def write_csv(self, path: str, header: bool = True, separator: str = ",", single: bool = False): return io().write(self, path, "csv", single, header=header, sep=separator, escape=chr(34))
     def write_json(self, path: str, single: bool = False): return io().write(self, path, "json", single)
     write_ndjson = sink_ndjson = write_json
     sink_csv = write_csv

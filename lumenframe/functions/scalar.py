@@ -108,3 +108,12 @@ def finite(c: Column, is_float: bool) -> Column:
     if not is_float:
         return c.isNotNull()
     return F.coalesce(~F.isnan(c) & (F.abs(c) != F.lit(INF)), F.lit(False))
+
+
+def array_quantile(values: Column, q: float) -> Column:
+    """Linear interpolation between the sorted values of an array."""
+    a = F.array_sort(values)
+    at = (F.size(a) - 1) * F.lit(q)
+    lo = F.floor(at).cast("int")
+    low, high = F.get(a, lo).cast("double"), F.get(a, F.ceil(at).cast("int")).cast("double")
+    return low + (high - low) * (at - lo)

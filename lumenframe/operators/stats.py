@@ -91,7 +91,7 @@ def interpolate(df: DataFrame, columns: list[str], order: list[Column], partitio
 
 def ewm(df: DataFrame, column: str, order: list[str], alpha: float, output: str, partition: list[str], kind: str = "mean") -> DataFrame:
     """Recursive exponential weights (adjust=False) within each partition, in Arrow batches of one partition each."""
-    schema = df.withColumn(output, F.lit(0.0)).schema
+    schema = df.withColumn(output, F.lit(None).cast("double")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
