@@ -233,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         met = ws.save(met.withColumn("lights", F.col("n") - F.sum(is_heavy.cast("int")).over(Window.partitionBy("cid"))))
         own_light = met.where(~is_heavy & (F.col("pos") - F.col("heavies") <= p)).select("s", "cid", "n")
         pairs.append(ws.save(bounded(candidates(own_light, own_light, True))))
-        lists = ws.save(met.where(is_heavy & (F.col("heavies") <= p - F.col("lights"))).select("s", "cid", "n", "lights"))
+        lists = ws.save(met.where(is_heavy & (F.col("heavies") <= p - F.col("lights"))).select("s", "cid", "n", "lights", "heavies"))
         hubs = ws.save(lists.groupBy("s").agg(F.min_by(F.struct("cid", "n"), F.struct("lights", "cid")).alias("hub")).select("s", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n")))
         pairs.append(ws.save(bounded(candidates(lists, hubs, False))))
     possible = ws.save(reduce(DataFrame.union, pairs, empty_pairs).distinct())
@@ -250,12 +250,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         labelled = lists.join(comp.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         labelled = ws.save(labelled)
         hub_comp = labelled.join(hubs.select("s", F.col("cid").alias("hub")), "s").where("cid = hub").select("s", F.col("comp").alias("hub_comp"))
-        stray = labelled.join(hub_comp, "s").where("comp <> hub_comp").select("s", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("lights").alias("lx"), F.col("comp").alias("cx"))
-        rest = labelled.select("s", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("lights").alias("ly"), F.col("comp").alias("cy"))
-        # A pair that shares no light n-gram within its bound overlaps in heavy ones alone.
+        stray = labelled.join(hub_comp, "s").where("comp <> hub_comp").select("s", F.col("cid").alias("x"), F.col("n").alias("nx"), (F.col("lights") + F.col("heavies")).alias("px"), F.col("comp").alias("cx"))
+        rest = labelled.select("s", F.col("cid").alias("y"), F.col("n").alias("ny"), (F.col("lights") + F.col("heavies")).alias("py"), F.col("comp").alias("cy"))
+        # Pairs that share a light n-gram are candidates already. In the others the first common n-gram is
+        # a heavy one, after all light ones of either set, and not later than the sizes of the pair allow.
         most = rule.overlap_col(F.col("nx"), F.col("ny"))
-        fit = rule.sizes_fit(F.col("nx"), F.col("ny")) & (F.col("lx") <= F.col("nx") - most) & (F.col("ly") <= F.col("ny") - most)
-        stray = stray.where(F.col("lx") <= F.col("nx") - F.ceil(F.col("nx") * num / den))
+        fit = rule.sizes_fit(F.col("nx"), F.col("ny")) & (F.col("px") <= F.col("nx") - most + 1) & (F.col("py") <= F.col("ny") - most + 1)
         swap = F.col("x") > F.col("y")
         more = stray.join(rest, "s").where((F.col("cx") != F.col("cy")) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")).distinct()
         more = ws.save(bounded(more))
