@@ -73,7 +73,7 @@ FROM d WINDOW w AS (PARTITION BY norm)
     "op10_mixing": mixing.ORACLE,
     "op6_embedding_near_dedup": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 ), u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
 links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.label = y.label AND x.vec_id <> y.vec_id
