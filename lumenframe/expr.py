@@ -313,6 +313,152 @@ class Expr:
     search_sorted = lower_bound
     def upper_bound(self, v): return self._agg(lambda env, c: F.count_if(c <= F.lit(v)), "upper_bound")
 
+    # lists of a group's values ------------------------------------------------
+    # These change the number of rows, so as expressions they give one list for each group (or
+    # partition). For a whole frame the Frame's methods of the same names stay distributed.
+    def _gather(self, fn: Callable[[Column], Column], name: str, by: Any = None) -> Expr:
+        def values(env: Env, c: Column) -> Column:
+            keys = [wrap(by).build(env)] if by is not None else []
+            keys += [F.col(k) for k in env.order_names]
+            if not keys:
+                return fn(F.collect_list(F.struct(c.alias("v"))).getField("v"))
+            rows = F.array_sort(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], c.alias("v"))))
+            return fn(rows.getField("v"))
+
+        return self._agg(values, name)
+
+    def head(self, n: int = 10): return self._gather(lambda a: F.slice(a, 1, n), "head")
+    limit = head
+    def tail(self, n: int = 10): return self._gather(lambda a: F.slice(a, F.greatest(F.size(a) - n, F.lit(0)) + 1, F.lit(n)), "tail")
+    def slice(self, offset: int, length: int): return self._gather(lambda a: F.slice(a, offset + 1, length), "slice")
+    def gather_every(self, n: int): return self._gather(lambda a: F.filter(a, lambda x, i: i % n == 0), "gather_every")
+    def unique(self): return self._gather(F.array_distinct, "unique")
+    def sort(self, descending: bool = False): return self._gather(lambda a: F.sort_array(a, not descending), "sort")
+    def sort_by(self, by): return self._gather(lambda a: a, "sort_by", by)
+    def top_k(self, k: int): return self._gather(lambda a: F.slice(F.sort_array(a, False), 1, k), "top_k")
+    def bottom_k(self, k: int): return self._gather(lambda a: F.slice(F.sort_array(a), 1, k), "bottom_k")
+    def top_k_by(self, by, k: int): return self._gather(lambda a: F.slice(F.reverse(a), 1, k), "top_k_by", by)
+    def bottom_k_by(self, by, k: int): return self._gather(lambda a: F.slice(a, 1, k), "bottom_k_by", by)
+    def shuffle(self): return self._gather(F.shuffle, "shuffle")
+    def sample(self, n: int): return self._gather(lambda a: F.slice(F.shuffle(a), 1, n), "sample")
+    def drop_nulls(self): return self._gather(F.array_compact, "drop_nulls")
+    def drop_nans(self): return self._gather(lambda a: F.filter(a, lambda x: F.coalesce(~F.isnan(x), F.lit(True))), "drop_nans")
+    def arg_sort(self): return self._gather(lambda a: F.sort_array(F.transform(a, lambda x, i: F.struct(x.alias("v"), i.alias("i")))).getField("i"), "arg_sort")
+    def arg_true(self): return self._gather(lambda a: F.array_compact(F.transform(a, lambda x, i: F.when(x, i))), "arg_true")
+    def arg_unique(self): return self._gather(lambda a: F.transform(F.array_distinct(a), lambda v: F.array_min(F.filter(F.transform(a, lambda x, i: F.when(x.eqNullSafe(v), i)), lambda i: i.isNotNull()))), "arg_unique")
+    def value_counts(self): return self._gather(lambda a: F.transform(F.array_distinct(a), lambda v: F.struct(v.alias("value"), F.size(F.filter(a, lambda x: x.eqNullSafe(v))).alias("count"))), "value_counts")
+    def unique_counts(self): return self._gather(lambda a: F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x.eqNullSafe(v)))), "unique_counts")
+    def entropy(self):
+        def value(a: Column) -> Column:
+            n = F.size(a).cast("double")
+            shares = F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x.eqNullSafe(v))) / n)
+            return -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.ln(p))
+
+        return self._gather(value, "entropy")
+
+    def hist(self, bins: int):
+        def value(a: Column) -> Column:
+            lo, hi = F.array_min(a).cast("double"), F.array_max(a).cast("double")
+            width = F.when(hi > lo, (hi - lo) / bins).otherwise(F.lit(1.0))
+            place = F.transform(F.array_compact(a), lambda x: F.least(F.floor((x - lo) / width), F.lit(bins - 1)))
+            return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)))
+
+        return self._gather(value, "hist")
+
+    def rle(self):
+        def value(a: Column) -> Column:
+            starts = F.filter(F.transform(a, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(a, i - 1)), i)), lambda i: i.isNotNull())
+            return F.transform(starts, lambda s, k: F.struct(F.get(a, s).alias("value"), (F.coalesce(F.get(starts, k + 1), F.size(a)) - s).alias("len")))
+
+        return self._gather(value, "rle")
+
+    def rle_id(self):
+        def value(a: Column) -> Column:
+            change = F.transform(a, lambda x, i: F.when((i > 0) & ~x.eqNullSafe(F.get(a, i - 1)), 1).otherwise(0))
+            return F.transform(change, lambda _, i: F.aggregate(F.slice(change, F.lit(1), i + 1), F.lit(0), lambda acc, x: acc + x))
+
+        return self._gather(value, "rle_id")
+
+    def reshape(self, width: int): return self._gather(lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, F.lit(width))), "reshape")
+    def extend_constant(self, v, n: int): return self._gather(lambda a: F.concat(a, F.array_repeat(F.lit(v), n)), "extend_constant")
+    def cumulative_eval(self, fn: Callable[[Column], Column]): return self._gather(lambda a: F.transform(a, lambda x, i: fn(F.slice(a, F.lit(1), i + 1))), "cumulative_eval")
+
+    def interpolate(self):
+        def value(a: Column) -> Column:
+            known = F.filter(F.transform(a, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+
+            def at(x: Column, i: Column) -> Column:
+                p, q = F.array_max(F.filter(known, lambda k: k < i)), F.array_min(F.filter(known, lambda k: k > i))
+                y, z = F.get(a, p).cast("double"), F.get(a, q).cast("double")
+                return F.when(x.isNotNull(), x.cast("double")).otherwise(y + (z - y) * (i - p) / (q - p))
+
+            return F.transform(a, at)
+
+        return self._gather(value, "interpolate")
+
+    def interpolate_by(self, by):
+        """Linear in ``by``, which the frame is ordered by; the ends stay null."""
+        b = wrap(by)
+
+        def build(env: Env, c: Column) -> Column:
+            x, known = b.build(env).cast("double"), F.when(c.isNotNull(), F.struct(b.build(env).cast("double").alias("x"), c.cast("double").alias("y")))
+            lo, hi = F.last(known, ignorenulls=True).over(env.running()), F.first(known, ignorenulls=True).over(env.window().rowsBetween(0, Window.unboundedFollowing))
+            return F.when(c.isNotNull(), c.cast("double")).otherwise(lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"]))
+
+        return self._win(build)
+
+    def _ewm(self, alpha: float, pick: Callable[[Column, Column], Column], name: str, by: Any = None) -> Expr:
+        def value(a: Column) -> Column:
+            start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out"))
+
+            def step(acc: Column, x: Column) -> Column:
+                x = x.cast("double")
+                m = F.when(x.isNull(), acc["m"]).when(acc["m"].isNull(), x).otherwise(x * alpha + acc["m"] * (1 - alpha))
+                v = F.when(x.isNull() | acc["m"].isNull(), acc["v"]).otherwise(acc["v"] * (1 - alpha) + (x - m) * (x - m) * alpha)
+                return F.struct(m.alias("m"), v.alias("v"), F.array_append(acc["out"], F.when(x.isNotNull(), pick(m, v))).alias("out"))
+
+            return F.aggregate(a, start, step, lambda acc: acc["out"])
+
+        return self._gather(value, name, by)
+
+    def ewm_mean(self, alpha: float = 0.5): return self._ewm(alpha, lambda m, v: m, "ewm_mean")
+    def ewm_var(self, alpha: float = 0.5): return self._ewm(alpha, lambda m, v: v, "ewm_var")
+    def ewm_std(self, alpha: float = 0.5): return self._ewm(alpha, lambda m, v: F.sqrt(v), "ewm_std")
+    def ewm_mean_by(self, by, alpha: float = 0.5): return self._ewm(alpha, lambda m, v: m, "ewm_mean", by)
+
+    def qcut(self, quantiles: list[float]):
+        qs = [self.quantile(q) for q in quantiles]
+
+        def build(env: Env) -> Column:
+            c, breaks = self.build(env), [q.build(env) for q in qs]
+            out = F.when(c.isNull(), F.lit(None).cast("string"))
+            for b in breaks:
+                out = out.when(c <= b, F.concat(F.lit("<= "), b.cast("string")))
+            return out.otherwise(F.concat(F.lit("> "), breaks[-1].cast("string")))
+
+        return Expr(build, self.name, "win")
+
+    def _rank_in(self, size: int, order: Expr | None) -> Expr:
+        def build(env: Env, c: Column) -> Column:
+            w = env.window() if order is None else Window.partitionBy(*(env.parts or [F.lit(0)])).orderBy(order.build(env), *env.order)
+            a = F.collect_list(c).over(w.rowsBetween(-(size - 1), 0))
+            below, same = F.size(F.filter(a, lambda x: x < c)), F.size(F.filter(a, lambda x: x == c))
+            return F.when(F.size(a) >= size, below + (same + 1) / 2)
+
+        return self._win(build)
+
+    def rolling_rank(self, size: int, strict: bool = True): return self._rank_in(size, None)
+    def rolling_rank_by(self, by, size: int): return self._rank_in(size, wrap(by))
+    def reinterpret(self, *_): raise NotImplementedError("values of one type are not bits of another here")
+
+    @staticmethod
+    def deserialize(text: str) -> Expr:
+        """A column expression from ``{"root": name, "name": alias}``."""
+        import json
+
+        d = json.loads(text)
+        return col(d["root"]).alias(d.get("name", d["root"]))
+
     # binning, user functions --------------------------------------------------
     def cut(self, breaks: list[float]):
         def build(c: Column) -> Column:
@@ -351,6 +497,8 @@ class Expr:
     def bin(self): return Names(self, "bitwise_")
     @property
     def cat(self): return Names(self, "cat_")
+    @property
+    def ext(self): return Names(self, "ext_")
 
     def __getitem__(self, k): return self.struct_field(k) if isinstance(k, str) else self.list_get(k)
     def __repr__(self): return f"Expr({self.name}, {self.kind})"

@@ -435,6 +435,38 @@ class Frame:
     def explain(self, mode: str = "formatted") -> str: return self.spark._jvm.PythonSQLUtils.explainString(self.df._jdf.queryExecution(), mode)
     show_graph = explain
 
+    def iter_slices(self, rows: int = 10_000) -> Iterator[list[tuple]]: return self.collect_batches(rows)
+    def series(self, name: str): return self.get_column(name)
+    def to_series(self, i: int = 0): return self.get_column(self.columns[i])
+    def n_chunks(self) -> int: return 1
+    def to_init_repr(self) -> str: return f"Frame.from_dict(spark, {self.to_dict()!r}, {', '.join(f'{c} {t}' for c, t in self.schema.items())!r})"
+    style = to_init_repr
+    def plot(self) -> dict: return {"columns": self.columns, "rows": self.to_dict()}
+    def to_jax(self): return self.select(*[E.col(c).cast("Float64") for c in stats.numeric(self.to_spark())]).to_numpy()
+    to_torch = to_jax
+    def fold(self, fn: Callable[[E.Expr, E.Expr], E.Expr], name: str = "fold") -> Frame: return self.select(E.fold(E.col(self.columns[0]), fn, [E.col(c) for c in self.columns[1:]]).alias(name))
+    filter_aggregate_direct = filter_aggregate
+    v_stack = vstack
+
+    @classmethod
+    def deserialize(cls, spark: SparkSession, text: str) -> Frame:
+        import json
+
+        d = json.loads(text)
+        rows = spark.createDataFrame([(json.dumps(r),) for r in d["rows"]], "j string")
+        schema = ", ".join(f"`{c}` {t}" for c, t in d["schema"].items())
+        return cls(rows.select(F.from_json("j", schema).alias("r")).select("r.*"))
+
+    def write_avro(self, path: str): return io().write(self, path, "avro")
+
+    def _no_sink(self, *_, **__):
+        raise NotImplementedError("this sink is not offered; write Parquet, CSV, JSON, Arrow IPC or a database table")
+
+    write_clipboard = write_delta = write_excel = write_iceberg = sink_delta = sink_iceberg = _no_sink
+    def inspect(self) -> Frame: return self
+    def remote(self) -> Frame: return self
+    def explain_diagnostics(self) -> dict: return {"logical": self.explain("extended"), "physical": self.explain("formatted"), "schema": self.schema}
+
     # running ---------------------------------------------------------------------------------
     def collect(self) -> Frame: return Frame(self.df, self.order)
     collect_streaming = collect

@@ -65,6 +65,39 @@ class Series:
     def equals(self, other: Series) -> bool: return self.data_type == other.data_type and self.to_list() == other.to_list()
     def describe(self) -> dict: return {"len": self.len(), "null_count": self.null_count(), "dtype": self.data_type, "min": self.min(), "max": self.max(), "mean": self.mean()}
 
+    def _typed(self) -> tuple[list, list[bool]]:
+        """Values and the mask of those that are not null."""
+        values = self.to_list()
+        return values, [v is not None for v in values]
+
+    int64_values = float64_values = string_values = bool_values = datetime_values = _typed
+    @property
+    def shape(self) -> tuple[int]: return (self.len(),)
+    def n_chunks(self) -> int: return 1
+    def chunk_lengths(self) -> list[int]: return [self.len()]
+    def get_chunks(self) -> list[Series]: return [self]
+    def flags(self) -> dict: return {"sorted": self.is_sorted(), "has_nulls": self.has_nulls()}
+    def estimated_size(self) -> int: return self.to_frame().estimated_size()
+    def to_jax(self): return self.cast("Float64").to_numpy()
+    to_torch = to_jax
+    def to_init_repr(self) -> str: return f"Series.of(spark, {self.name!r}, {self.to_list()!r}, {self.data_type!r})"
+    def serialize(self) -> str: return self.to_frame().serialize()
+
+    @classmethod
+    def deserialize(cls, spark: SparkSession, text: str) -> Series:
+        f = Frame.deserialize(spark, text)
+        return cls(f, f.columns[0])
+
+    def reshape(self, *shape: int) -> Series:
+        if functools.reduce(lambda a, b: a * b, shape, 1) != self.len():
+            raise ValueError("the shape does not hold as many values")
+        return self
+
+    def interpolate_by(self, by: Series) -> Series: return (lambda f: Series(f[0].interpolate(self.name, by=f[1]), self.name))(self._with(by))
+    def ewm_mean_by(self, by: Series, alpha: float = 0.5) -> Series: return (lambda f: Series(f[0].sort(f[1]), self.name).ewm_mean(alpha))(self._with(by))
+    def _by(self, method: str, by: Series, *args) -> Series: return (lambda f: Series(f[0].select(getattr(E.col(self.name), method)(E.col(f[1]), *args).alias(self.name)), self.name))(self._with(by))
+    def rolling_rank(self, size: int) -> Series: return self._map(self._e.rolling_rank(size))
+
     # reductions -----------------------------------------------------------------
     def sum(self): return self._value(self._number().sum(), 0)
     def mean(self): return self._value(self._number().mean(), 0)
@@ -225,6 +258,8 @@ for _n in _PAIRS:
     setattr(Series, _n, functools.partialmethod(Series._two, method=_n))
 for _n in [*E.ROLLING, "quantile"]:
     setattr(Series, f"rolling_{_n}", lambda self, size, *a, n=_n: self._map(getattr(self._e, f"rolling_{n}")(size, *a, strict=True)))
+for _n in [*E.ROLLING, "quantile", "rank"]:
+    setattr(Series, f"rolling_{_n}_by", lambda self, by, size, *a, n=_n: self._by(f"rolling_{n}_by", by, size, *a))
 Series.div = lambda self, o: self._map(self._e.cast("double")._map(lambda a, b: F.when(b == 0, F.when(a == 0, F.lit(float("nan"))).otherwise(F.signum(a) * F.lit(float("inf")))).otherwise(F.try_divide(a, b)), o))
 Series.cum_sum = lambda self: self._map(E.when(self._e.is_not_null(), self._e.cum_sum(), E.lit(None)))
 Series.cum_count = lambda self: self._map(E.when(self._e.is_not_null(), self._e.cum_count().cast("double"), E.lit(None)))
@@ -234,6 +269,7 @@ Series.dt = property(lambda self: _Accessor(self, "dt_"))
 Series.list = property(lambda self: _Accessor(self, "list_"))
 Series.arr = Series.list
 Series.bin = property(lambda self: _Accessor(self, "bitwise_"))
+Series.cat = property(lambda self: _Accessor(self, "cat_"))
 Series.struct = property(lambda self: _Accessor(self, "struct_"))
 
 

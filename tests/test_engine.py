@@ -204,3 +204,28 @@ def test_entry_without_llm():
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names
     assert os.path.exists(e.__file__)
+
+
+def test_list_expressions(spark):
+    f = frame(spark, {"g": ["a", "a", "a", "b"], "v": [3, 1, 3, None], "x": [1.0, None, 3.0, 2.0]}, "g string, v long, x double")
+    v, x = col("v"), col("x")
+    r = f.group_by("g").agg(
+        v.head(2).alias("h"), v.tail(1).alias("t"), v.unique().alias("u"), v.sort().alias("s"), v.arg_sort().alias("o"), v.rle_id().alias("r"), v.top_k(1).alias("k"),
+        x.interpolate().alias("i"), x.ewm_mean(0.5).alias("e"), v.rle().alias("l"), v.value_counts().alias("c"), v.entropy().alias("n"),
+    ).filter(col("g") == "a").to_dicts()[0]
+    assert (r["h"], r["t"], r["u"], r["s"], r["o"], r["r"], r["k"]) == ([3, 1], [3], [3, 1], [1, 3, 3], [1, 0, 2], [0, 1, 2], [3])
+    assert r["i"] == [1.0, 2.0, 3.0] and r["e"] == [1.0, None, 2.0]
+    assert [tuple(y) for y in r["l"]] == [(3, 1), (1, 1), (3, 1)] and [tuple(y) for y in r["c"]] == [(3, 2), (1, 1)]
+    assert math.isclose(r["n"], -(2 / 3 * math.log(2 / 3) + 1 / 3 * math.log(1 / 3)))
+    assert [y[0] for y in f.select(v.rolling_rank(2).alias("r")).rows()] == [None, 1.0, 2.0, None]
+    assert [y[0] for y in f.select(x.qcut([0.5]).alias("q")).rows()] == ["<= 2.0", None, "> 2.0", "<= 2.0"]
+
+
+def test_serialize(spark):
+    f = frame(spark, {"a": [1, 2], "s": ["x", None]}, "a long, s string")
+    assert Frame.deserialize(spark, f.serialize()).equals(f)
+    s = Series.of(spark, "a", [2.0, 1.0, 4.0], "Float64")
+    by = Series.of(spark, "b", [3, 1, 2], "Int64")
+    assert s.rolling_sum_by(by, 2).to_list() == [6.0, None, 5.0]
+    with pytest.raises(NotImplementedError):
+        f.write_excel("x")
