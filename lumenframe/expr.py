@@ -221,14 +221,14 @@ class Expr:
     def forward_fill(self): return self._win(lambda env, c: F.last(c, ignorenulls=True).over(env.running()))
     def backward_fill(self): return self._win(lambda env, c: F.first(c, ignorenulls=True).over(env.window().rowsBetween(0, Window.unboundedFollowing)))
     def reverse(self): return self._win(lambda env, c: F.element_at(F.collect_list(F.struct(c.alias("v"))).over(env.whole()), -F.row_number().over(env.window()))["v"])
-    def row_number(self): return self._win(lambda env, c: F.row_number().over(env.window()))
+    def row_number(self): return self._win(lambda env, c: F.row_number().over(env.window()).cast("long"))
 
     def rank(self, method: str = "ordinal", descending: bool = False):
         def build(env: Env, c: Column) -> Column:
             key = c.desc_nulls_first() if descending else c.asc_nulls_first()
             w = Window.partitionBy(*(env.parts or [F.lit(0)]))
             fn = {"ordinal": F.row_number, "min": F.rank, "dense": F.dense_rank}[method]
-            return fn().over(w.orderBy(key, *env.order) if method == "ordinal" else w.orderBy(key))
+            return fn().over(w.orderBy(key, *env.order) if method == "ordinal" else w.orderBy(key)).cast("long")
 
         return self._win(build)
 

@@ -322,7 +322,7 @@ def window_sum(t):
     return t.events.window_sum("value", ["user_id"], "event_id", "running").select("event_id", "running")
 
 
-@query("SELECT user_id, run, count(*) AS len, min(event_type) AS value FROM (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY 1, 2")
+@query("SELECT user_id, run, count(*) AS len, min(event_type) AS value FROM (SELECT *, (sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS ch FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY 1, 2")
 def run_lengths(t):
     return t.events.sort(["ts", "event_id"]).rle("event_type", ["user_id"])
 
@@ -428,7 +428,7 @@ def text_functions(t):
     return t.documents.select("doc_id", x.str.len().alias("b"), x.str.char_len().alias("c"), x.str.replace("[aeiou]+", "#").alias("f"), x.str.left(40).str_trim().alias("t"))
 
 
-@query("SELECT l_orderkey, l_linenumber, sqrt(l_quantity) AS a, ln(l_quantity) AS b, exp(l_discount) AS c, sin(l_tax) AS d, floor(l_extendedprice) AS e, ceil(l_extendedprice) AS f, round(l_extendedprice) AS g, sign(l_discount - 0.05) AS h, pow(l_quantity, 2) AS i, atan2(l_tax, l_quantity) AS j, degrees(l_tax) AS k, cbrt(l_quantity) AS m FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, sqrt(l_quantity) AS a, ln(l_quantity) AS b, exp(l_discount) AS c, sin(l_tax) AS d, floor(l_extendedprice) AS e, ceil(l_extendedprice) AS f, round(l_extendedprice) AS g, sign(l_discount - 0.05)::DOUBLE AS h, pow(l_quantity, 2) AS i, atan2(l_tax, l_quantity) AS j, degrees(l_tax) AS k, cbrt(l_quantity) AS m FROM lineitem")
 def math_functions(t):
     q, p, d, x = col("l_quantity"), col("l_extendedprice"), col("l_discount"), col("l_tax")
     return t.lineitem.select("l_orderkey", "l_linenumber", q.sqrt().alias("a"), q.log().alias("b"), d.exp().alias("c"), x.sin().alias("d"), p.floor().alias("e"), p.ceil().alias("f"), p.round().alias("g"), (d - 0.05).sign().alias("h"), q.pow(2.0).alias("i"), x.atan2(q).alias("j"), x.degrees().alias("k"), q.cbrt().alias("m"))
