@@ -124,7 +124,6 @@ class Frame:
             return self._new(keep.df.where("__keep").drop("__keep"))
         return self._new(self.df.where(c))
 
-    join_where_filter = filter
 
     def drop(self, *names: str) -> Frame: return self._new(self.df.drop(*names))
     drop_in_place = remove = drop
