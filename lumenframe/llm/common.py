@@ -73,6 +73,11 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def keyed(df: DataFrame, id_col: str, *names: str) -> DataFrame:
+    """The id as long, and the other named columns."""
+    return df.select(F.col(f"`{id_col}`").cast("long").alias(id_col), *[F.col(f"`{n}`") for n in names])
+
+
 def components(ws: Workspace, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, comp), comp the least id.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Workspace, fold_ascii, plain
+from .common import BROADCAST_IDS, Workspace, fold_ascii, keyed
 
 #: Directory cells are at most 2 ** MAX_DEPTH, whatever the input.
 MAX_DEPTH = 12
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, keep_id (largest id among equal texts), group_size, kept, text_sha256 and the index bucket."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
-    d = plain(docs, id_col, text_col).toDF("doc_id", "text")
+    d = keyed(docs, id_col, text_col).toDF("doc_id", "text")
     norm = fold_ascii(F.coalesce("text", F.lit("")))
     keys = ws.save(d.select("doc_id", norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     entries = ws.save(keys.groupBy("h").agg(F.count("*").alias("n"), F.min("sha").alias("lo"), F.max("sha").alias("hi")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, plain
+from .common import Workspace, keyed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Targets stop at this multiple of a source's size.
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies, taken; one row for each input row."""
     ws = Workspace(docs.sparkSession, "mix")
-    d = plain(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
+    d = keyed(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
     sized = ws.save(
         d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         .withColumn("cls", F.when(F.col("size") > 0, F.length(F.bin("size")) * 100 + F.rpad(F.substring(F.bin("size"), 2, 2), 2, "0").cast("int")).otherwise(0))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, FOLD, Workspace, components, plain
+from .common import BROADCAST_IDS, FOLD, Workspace, components, keyed
 
 FRAGMENTS = 8
 #: Tables of at most this many hashes (8 bytes each) may be broadcast.
@@ -142,7 +142,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """doc_id, n_shingles, component_id; one row for each input row."""
     spark = docs.sparkSession
     ws, rule = Workspace(spark, "ngrams"), Rule(num, den)
-    d = plain(docs, id_col, text_col).toDF("doc_id", "text")
+    d = keyed(docs, id_col, text_col).toDF("doc_id", "text")
 
     def signatures(batches):
         for ids, texts in _pieces(batches):

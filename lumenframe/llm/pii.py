@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import keyed
 
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("secret", "obfuscated_email", "plain_phone", "loose_ip", "loose_card")
@@ -192,7 +192,7 @@ def train_classifier(posterior: dict[tuple, float], patterns: dict[tuple, int],
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sure: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added; one row for each input row."""
     spark = docs.sparkSession
-    d = plain(docs, id_col, text_col)
+    d = keyed(docs, id_col, text_col)
 
     def count(batches):
         c: Counter = Counter()

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import plain
+from .common import keyed
 
 SPACE = "▁"
 SHORT = 40
@@ -403,4 +403,4 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
                 lo = hi
         codec._forget()  # the worker may serve other operators next
 
-    return plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, n_bytes long, round_trip boolean")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, n_bytes long, round_trip boolean")

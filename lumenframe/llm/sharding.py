@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, plain
+from .common import Workspace, keyed
 
 ITEMS = 8192
 
@@ -120,7 +120,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; one row for each input row."""
     spark = docs.sparkSession
     ws = Workspace(spark, "shard")
-    d = plain(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    d = keyed(docs, id_col, text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = ws.save(d.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("g")))
     groups = ws.save(rows.groupBy("g").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
