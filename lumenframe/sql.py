@@ -1,9 +1,6 @@
-"""SQL over registered frames: Spark SQL with a few dialect shims.
+"""SQL over registered frames: Spark SQL with the dialect of ``dialect`` rewritten.
 
-Shims: null ordering (nulls last unless said otherwise), ``//``, ``* EXCLUDE``,
-``CONCAT`` that skips nulls, ``string_to_array``, ``regexp_matches``, ``strpos``,
-``list_*`` names, and DELETE, TRUNCATE, DROP, SHOW TABLES and EXPLAIN on
-registered frames. String literals are never touched.
+Statements on the context itself are DELETE, TRUNCATE, DROP, SHOW TABLES and EXPLAIN.
 """
 
 from __future__ import annotations
@@ -14,45 +11,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from .dialect import Translator
 from .frame import Frame
 
-_PLAIN = [
-    (re.compile(r"\*\s*EXCLUDE\s*\(", re.I), "* EXCEPT ("),
-    (re.compile(r"\*\s*EXCLUDE\s+(\w+)", re.I), r"* EXCEPT (\1)"),
-    (re.compile(r"(\w+|\))\s*//\s*(\w+)"), r"\1 div \2"),
-    (re.compile(r"\bCONCAT\s*\(", re.I), "concat_ws('', "),
-    (re.compile(r"\bSTRING_TO_ARRAY\s*\(", re.I), "split_literal("),
-    (re.compile(r"\bREGEXP_MATCHES\s*\(", re.I), "regexp_like("),
-    (re.compile(r"\bSTRPOS\s*\(", re.I), "instr("),
-    (re.compile(r"\bSTRLEN\s*\(", re.I), "octet_length("),
-    (re.compile(r"\bARRAY_TO_STRING\s*\(", re.I), "array_join("),
-    (re.compile(r"\bUNNEST\s*\(", re.I), "explode("),
-    (re.compile(r"\bEPOCH\s*\(", re.I), "unix_timestamp("),
-]
-_ORDER = re.compile(r"(\bORDER\s+BY\s+)([^()]*?)(?=\bLIMIT\b|\bOFFSET\b|\)|\bROWS\b|\bRANGE\b|$)", re.I | re.S)
-
 
 def translate(query: str) -> str:
-    """The query in Spark's dialect; text inside quotes stays as it is."""
-    quoted: list[str] = []
-
-    def keep(m):
-        quoted.append(m[0])
-        return f"\x00{len(quoted) - 1}\x00"
-
-    q = re.sub(r"\$\$(.*?)\$\$", lambda m: "'" + m[1].replace("'", "\\'") + "'", query.strip().rstrip(";"), flags=re.S)
-    q = re.sub(r"'(?:[^']|'')*'", keep, q)
-    q = re.sub(r'"([^"]*)"', r"`\1`", q)
-    for pattern, to in _PLAIN:
-        q = pattern.sub(to, q)
-    q = q.replace("split_literal(", "split(")
-
-    def nulls(m):
-        keys = [k if re.search(r"\bNULLS\b|\bALL\b", k, re.I) or not k.strip() else f"{k.rstrip()} NULLS LAST " for k in m[2].split(",")]
-        return m[1] + ",".join(keys)
-
-    q = _ORDER.sub(nulls, q)
-    return re.sub("\x00(\\d+)\x00", lambda m: quoted[int(m[1])], q)
+    """The query in Spark's dialect, where no table needs to be looked at."""
+    return Translator().translate(query)
 
 
 class SQLContext:
@@ -85,7 +50,7 @@ class SQLContext:
             return Frame(self.spark.createDataFrame([(t,) for t in self.tables()], "name string"))
         if m := re.fullmatch(r"DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*))?", q, re.I | re.S):
             f = self.frames[m[1]]
-            df = f.df.where(f"NOT coalesce({translate(m[2])}, false)") if m[2] else f.df.limit(0)
+            df = f.df.where(f"NOT coalesce({self._translate(m[2])}, false)") if m[2] else f.df.limit(0)
             self.frames[m[1]] = f._new(df)
             return self.frames[m[1]]
         if m := re.fullmatch(r"TRUNCATE\s+(?:TABLE\s+)?(\w+)", q, re.I):
@@ -94,7 +59,17 @@ class SQLContext:
         if m := re.fullmatch(r"DROP\s+TABLE\s+(\w+)", q, re.I):
             self.unregister(m[1])
             return self.execute("SHOW TABLES")
-        return Frame(self._run(translate(q)))
+        return Frame(self._run(self._translate(q)))
+
+    def _translate(self, q: str) -> str:
+        def read(kind: str, path: str) -> str:
+            name = f"{self.prefix}file_{uuid.uuid4().hex[:8]}"
+            getattr(io, f"scan_{kind}")(self.spark, path).to_spark().createOrReplaceTempView(name)
+            return name
+
+        from .sources import io  # reads frames, which offer SQL themselves
+
+        return Translator(lambda query, star: self._run(query.strip()).columns, read).translate(q)
 
     def _run(self, q: str):
         """Names become views of this context for the analysis of one query."""
