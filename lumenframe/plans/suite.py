@@ -512,3 +512,71 @@ def pricing_summary(t):
     disc = col("l_extendedprice") * (lit(1) - col("l_discount"))
     f = t.lineitem.filter(col("l_shipdate")._map(lambda c: c <= F.lit("1998-09-02").cast("timestamp_ntz")))
     return f.group_by("l_returnflag", "l_linestatus").agg(col("l_quantity").sum().alias("sum_qty"), col("l_extendedprice").sum().alias("sum_base"), disc.sum().alias("sum_disc"), (disc * (lit(1) + col("l_tax"))).sum().alias("sum_charge"), col("l_quantity").mean().alias("avg_qty"), col("l_discount").mean().alias("avg_disc"), count().alias("n"))
+
+
+def sql_query(*tables: str) -> Callable:
+    """A query whose text runs both here and on DuckDB: the dialect is translated, not restated."""
+
+    def add(fn: Callable[[], str]) -> Callable:
+        text = fn()
+        QUERIES[fn.__name__] = lambda spark, sf_dir: SQLContext(spark, {n: getattr(Tables(spark, sf_dir), n) for n in tables}).execute(text).to_spark()
+        ORACLES[fn.__name__] = text
+        return fn
+
+    return add
+
+
+@sql_query("customer")
+def sql_string_functions():
+    return """SELECT c_custkey, left(c_name, -3) AS head, right(c_name, -9) AS rest, right(c_name, 2) AS last2, split_part(c_name, '#', -1) AS tail, strpos(c_name, '#') AS at,
+        concat(c_name, NULL, c_nationkey) AS both_, array_to_string(string_to_array(c_mktsegment, 'I'), '.') AS parts, upper(c_mktsegment) || '|' || lower(c_name) AS cased,
+        regexp_matches(c_name, '0{3}\\d*1') AS has, c_mktsegment ~ 'BUI.*' AS full_, c_mktsegment ^@ 'AUTO' AS pre, c_mktsegment ILIKE 'mach%' AS machine, strlen(c_name) AS bytes
+        FROM customer"""
+
+
+@sql_query("orders")
+def sql_temporal():
+    return """SELECT o_orderkey, extract(week FROM o_orderdate) AS week, extract(decade FROM o_orderdate) AS decade, date_part('century', o_orderdate) AS century, extract(dow FROM o_orderdate) AS dow,
+        extract(isodow FROM o_orderdate) AS isodow, extract(isoyear FROM o_orderdate) AS isoyear, extract(quarter FROM o_orderdate) AS quarter, extract(second FROM o_orderdate) AS sec, extract(epoch FROM o_orderdate) AS epoch,
+        strftime(o_orderdate, '%d.%m.%Y %H:%M') AS shown, CAST(o_orderdate + INTERVAL 1 MONTH < TIMESTAMP '1996-01-01 00:00:00' AS BOOLEAN) AS early
+        FROM orders"""
+
+
+@sql_query("lineitem")
+def sql_casts_numeric():
+    return """SELECT l_orderkey, l_linenumber, l_extendedprice::INTEGER AS whole, CAST(l_discount * 100 AS BIGINT) AS percent, TRY_CAST(l_returnflag AS INT) AS no_number, l_linenumber / 2 AS half, l_orderkey // 7 AS weeks,
+        l_orderkey % 7 AS rem, mod(l_partkey, 5) AS m, sign(l_tax - 0.04) AS s, xor(l_orderkey, l_partkey) AS x, bit_count(l_orderkey) AS bits, greatest(l_quantity, NULL, 10) AS g, atan2(l_quantity, l_tax + 1) AS angle
+        FROM lineitem"""
+
+
+@sql_query("nation", "region")
+def sql_star_modifiers():
+    return """SELECT n.* REPLACE (upper(n_name) AS n_name) RENAME (n_regionkey AS region), r.* EXCLUDE (r_regionkey) FROM nation AS n JOIN region AS r ON n.n_regionkey = r.r_regionkey"""
+
+
+@sql_query("customer", "orders")
+def sql_quantified_subqueries():
+    return """SELECT c_custkey, c_acctbal >= ALL (SELECT c_acctbal FROM customer) AS richest FROM customer
+        WHERE c_acctbal > ANY (SELECT o_totalprice / 50 FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey <> ALL (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"""
+
+
+@sql_query("orders")
+def sql_lists_structs():
+    return """WITH g AS (SELECT o_custkey, array_agg(o_orderkey ORDER BY o_orderkey) AS ks, {'n': count(*), 'top': max(o_totalprice)} AS st FROM orders GROUP BY ALL)
+        SELECT o_custkey, ks[1] AS first_key, ks[99] AS none_, len(array_to_string(string_split(o_custkey::VARCHAR, '1'), '')) AS w, st.n AS n, st.top AS top, list_contains(ks, 7) AS seven, array_to_string(ks[2:3], ',') AS mid FROM g"""
+
+
+@sql_query("events")
+def sql_json_unnest():
+    return """SELECT event_id, UNNEST([user_id, event_id, 0]) AS num, UNNEST(['u', 'e']) AS tag FROM events"""
+
+
+@sql_query("supplier", "nation", "customer")
+def sql_set_operations():
+    return """(SELECT s_nationkey AS k FROM supplier UNION ALL SELECT n_nationkey FROM nation) EXCEPT ALL SELECT c_nationkey FROM customer WHERE c_acctbal > 9900 ORDER BY k LIMIT 20"""
+
+
+@sql_query("orders")
+def sql_order_windows():
+    return """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '1-URGENT'), o_orderkey) AS n, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS quarter,
+        lag(o_totalprice, 1, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders ORDER BY coalesce(nullif(o_orderpriority, '1-URGENT'), NULL), o_orderkey LIMIT 500"""
