@@ -210,13 +210,10 @@ class Frame:
         return f._new(f.df.orderBy(*f._keys()).offset(offset).limit(length))
 
     def with_row_index(self, name: str = "index", offset: int = 0) -> Frame:
-        """Row numbers by order. A single ascending key is numbered range by range (``stats.prefix``)."""
+        """Row numbers by order, range by range (``stats.prefix``)."""
         f = self.with_order()
-        kind = dict(f.df.dtypes)[f.order[0][0]]
-        if not any(d or last for _, d, last in f.order) and (kind in stats.NUMBERS or kind.startswith("timestamp")):
-            df = stats.prefix(f.df, [o[0] for o in f.order], None, name)
-            return f._new(df.withColumn(name, (_c(name) + offset).cast("long")))
-        return f._new(f.df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*f._keys())) - 1 + offset).cast("long")))
+        df = stats.prefix(f.df, f.order, f._keys(), None, name)
+        return f._new(df.withColumn(name, (_c(name) + offset).cast("long")))
 
     with_row_count = with_row_index
     def gather_every(self, n: int, offset: int = 0) -> Frame: return (lambda f: f._new(f.df.where((_c("__i") >= offset) & ((_c("__i") - offset) % n == 0)).drop("__i")))(self.with_row_index("__i"))
@@ -294,7 +291,7 @@ class Frame:
 
     def rle_id(self, column: str, partition: list[str] | None = None) -> Frame: return (lambda f: f._new(stats.runs(f.df, column, f._keys(), partition)))(self.with_order())
     def ewm(self, column: str, alpha: float, output: str, partition: list[str], kind: str = "mean") -> Frame: return self._new(stats.ewm(self.df, column, [o[0] for o in self.order], alpha, output, partition, kind))
-    def cum_sum_all(self, column: str, output: str) -> Frame: return (lambda f: f._new(stats.prefix(f.df, [o[0] for o in f.order], _c(column), output)))(self.with_order())
+    def cum_sum_all(self, column: str, output: str) -> Frame: return (lambda f: f._new(stats.prefix(f.df, f.order, f._keys(), _c(column), output)))(self.with_order())
 
     def qcut(self, column: str, quantiles: list[float], output: str) -> Frame:
         breaks = self.df.agg(F.percentile(_c(column), quantiles)).first()[0]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import place, range_cuts
+
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "outer": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -32,6 +34,8 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     """Each left row with the right row of the nearest key: at or before it, at or after it, or either.
 
     Of right rows with the nearest key one is taken: the first by the right frame's values.
+    Without ``by`` a large input is cut into ranges of the key; each range takes the last match
+    before it and the first after it from a table of one row for each range.
     """
     taken = set(left.columns)
     rcols = [c for c in right.columns if not c.startswith(hidden)]
@@ -46,12 +50,18 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     r = r.groupBy(*keys, "__k").agg(F.min("__r").alias("__r"))
     l = left.select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], number(F.col(f"`{left_on}`")).alias("__k"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__l"))
     both = l.select(*keys, "__k", "__l", F.lit(None).cast(r.schema["__r"].dataType).alias("__r")).unionAll(r.select(*keys, "__k", F.lit(None).cast(l.schema["__l"].dataType).alias("__l"), "__r"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    cuts = [] if keys else range_cuts(both.select("__k"), F.col("__k"))
+    w = Window.partitionBy(*keys, "__p") if cuts else Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if cuts:
+        both = both.withColumn("__p", place(F.col("__k"), cuts))
     found = F.when(F.col("__r").isNotNull(), F.struct("__k", "__r"))
     back = F.last(found, ignorenulls=True).over(w.orderBy("__k").rangeBetween(Window.unboundedPreceding, 0))
     ahead = F.first(found, ignorenulls=True).over(w.orderBy("__k").rangeBetween(0, Window.unboundedFollowing))
     need = {"backward": [("__back", back)], "forward": [("__ahead", ahead)]}.get(strategy, [("__back", back), ("__ahead", ahead)])
     j = both.withColumns(dict(need)).where(F.col("__l").isNotNull())
+    if cuts:
+        j = j.join(F.broadcast(_outside(r, cuts)), "__p")
+        j = j.withColumns({n: F.coalesce(n, n + "_out") for n, _ in need})
     if len(need) == 1:
         hit = F.col(need[0][0])
     else:
@@ -61,3 +71,11 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     if tolerance is not None:
         j = j.withColumn("__hit", F.when(F.abs(F.col("__hit")["__k"] - F.col("__k")) <= tolerance, F.col("__hit")))
     return j.select(*[F.col("__l")[c].alias(c) for c in left.columns], *[F.col("__hit")["__r"][c].alias(n) for c, n in names.items()])
+
+
+def _outside(r: DataFrame, cuts: list) -> DataFrame:
+    """For each range (``__p``): the last right row before it and the first one after it. One row for each range."""
+    ends = r.select(place(F.col("__k"), cuts).alias("__p"), F.struct("__k", "__r").alias("f")).groupBy("__p").agg(F.max_by("f", F.col("f")["__k"]).alias("hi"), F.min_by("f", F.col("f")["__k"]).alias("lo"))
+    grid = r.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__p")).join(ends, "__p", "left")
+    w = Window.orderBy("__p")
+    return grid.select("__p", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__back_out"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__ahead_out"))

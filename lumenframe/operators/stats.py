@@ -111,25 +111,66 @@ def ewm(df: DataFrame, column: str, order: list[str], alpha: float, output: str,
     return df.groupBy(*partition).applyInPandas(run, schema)
 
 
-def prefix(df: DataFrame, order: list[str], value: Column | None, output: str, buckets: int = 64) -> DataFrame:
+#: Rows that one range of an ordered pass is meant to hold, and the most ranges.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 8192
+
+
+def monotone(df: DataFrame, name: str) -> Column:
+    """A number that never falls as the column rises in sort order; null for null. Strings count by their first bytes."""
+    c, kind = _c(name), dict(df.dtypes)[name]
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp"))
+    if kind == "date":
+        return F.unix_date(c)
+    if kind == "boolean":
+        return c.cast("int")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    if kind.startswith("decimal"):
+        return c.cast("double")
+    return c if kind in NUMBERS else F.when(c.isNotNull(), F.lit(0))
+
+
+def range_cuts(df: DataFrame, number: Column) -> list:
+    """Approximate quantiles that cut the rows into ranges of about RANGE_ROWS; at most MOST_RANGES - 1 numbers, none for few rows."""
+    ranges = min(MOST_RANGES, -(-df.count() // RANGE_ROWS))
+    if ranges < 2:
+        return []
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges))  # as text: thousands of literals are slow to build one by one
+    cuts = df.select(number.alias("__n")).agg(F.expr(f"percentile_approx(__n, array({shares}), 50000)")).first()[0]
+    return sorted({c for c in cuts or [] if c == c})
+
+
+def place(number: Column, cuts: list) -> Column:
+    """How many cuts lie below the number (0 for null): two short scans of sorted cuts."""
+    if not cuts:
+        return F.lit(0)
+    wide = max(1, int(len(cuts) ** 0.5))
+    whole, coarse = F.array(*[F.lit(c) for c in cuts]), F.array(*[F.lit(c) for c in cuts[::wide]])
+    b = F.size(F.filter(coarse, lambda c: c < number))
+    start = (b - 1) * wide
+    return F.when(b <= 0, F.lit(0)).otherwise(start + F.size(F.filter(F.slice(whole, start + 1, F.lit(wide)), lambda c: c < number)))
+
+
+def prefix(df: DataFrame, order: list[tuple[str, bool, bool]], keys: list[Column], value: Column | None, output: str) -> DataFrame:
     """A running sum (or, without value, a row number from 0) over all rows, not in one task.
 
-    Rows are cut into ranges of the first order column at approximate quantiles;
-    each range runs alone and adds the totals of the ranges before it.
+    order: (column, descending, nulls last) of each key; keys: the same as sort keys. Rows are cut
+    into ranges of the first key at approximate quantiles; each range runs alone and adds the
+    totals of the ranges before it. Rows of one value of the first key stay in one range.
     """
-    key = F.col(f"`{order[0]}`")
-    kind = dict(df.dtypes)[order[0]]
-    number = F.unix_micros(key.cast("timestamp")) if kind.startswith("timestamp") else key
-    cuts = df.agg(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []  # at most ``buckets`` numbers
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.coalesce(number, F.lit(cuts[0]) - 1) > F.lit(c)).cast("int")
+    name, desc, last = order[0]
+    number = monotone(df, name)
+    cuts = range_cuts(df, number)
+    at = F.lit(len(cuts)) - place(number, cuts) if desc else place(number, cuts)
+    nulls = F.lit(len(cuts) + 1 if last else -1)
     v = F.lit(1).cast("long") if value is None else F.coalesce(value.cast("double"), F.lit(0.0))
-    d = df.withColumn("__v", v).withColumn("__p", place)
+    d = df.withColumn("__v", v).withColumn("__p", F.when(number.isNull(), nulls).otherwise(at) if cuts else F.lit(0))
+    w = Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.withColumn("__r", F.sum("__v").over(w))
+    total = F.col("__r") - (1 if value is None else 0)
+    if not cuts:
+        return out.withColumn(output, total).drop("__v", "__p", "__r")
     totals = d.groupBy("__p").agg(F.sum("__v").alias("__t"))
-    before = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # at most ``buckets`` rows
-    w = Window.partitionBy("__p").orderBy(*[F.col(f"`{o}`") for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = d.withColumn("__r", F.sum("__v").over(w)).join(F.broadcast(before), "__p")
-    total = F.col("__r") + F.col("__b") - (1 if value is None else 0)
-    return out.withColumn(output, total).drop("__v", "__p", "__r", "__b")
+    before = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # at most MOST_RANGES + 1 rows
+    return out.join(F.broadcast(before), "__p").withColumn(output, total + F.col("__b")).drop("__v", "__p", "__r", "__b")
