@@ -78,7 +78,7 @@ def keyed(df: DataFrame, id_col: str, *names: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias(id_col), *[F.col(f"`{n}`") for n in names])
 
 
-def components(ws: Workspace, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, comp), comp the least id.
 
     Each round takes the least label among neighbours and then follows labels of
@@ -88,7 +88,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 40) -> DataFra
     """
     both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = ws.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    for _ in range(max_rounds):
+    while True:  # labels only ever fall, so this ends
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         step = ws.save(step)
