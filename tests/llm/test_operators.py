@@ -402,3 +402,11 @@ def test_pipeline(spark, tmp_path):
     copies = {r.doc_id: r.copies for r in mixing.mix(d).collect()}
     assert collections.Counter(r.doc_id for r in got) == collections.Counter({k: v for k, v in copies.items() if v})
     assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def test_projection_passes_follow_the_rows():
+    n = [embedding_dedup.passes_for(rows, 0.93, 10) for rows in (0, 10, 10_000, 10**6, 10**9)]
+    assert n == sorted(n) and n[0] == 16 and n[-1] > n[2]
+    agree = 1 - math.acos(0.93) / math.pi
+    met = agree ** math.log2(10**9 / 10)
+    assert 1 - (1 - met) ** n[-1] >= 0.97
