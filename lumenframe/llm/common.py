@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,14 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, count: int | None = None)
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive a task, and other operators run in them next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does just that to ASCII text, and is much faster."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain
+from .common import plain, release
 
 #: Letter classes: 0 for what is no letter, 1..62 the most frequent letters, 63 any other letter.
 CLASSES = 64
@@ -185,6 +185,7 @@ def predict_language(docs: DataFrame, labelled: DataFrame, extra: list[str] | No
                 texts = b.column(1).to_pylist()
                 langs, score = predictor.predict(texts) if predictor else ([UND] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, b.num_columns)), pa.array(langs), pa.array(score)], names=[f.name for f in fields] + ["lang_pred", "score"])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
     return d.mapInArrow(run, schema)

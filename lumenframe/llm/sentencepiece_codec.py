@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, release
 
 SPACE = "▁"
 SHORT = 40
@@ -385,22 +385,27 @@ def encode_decode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_i
     def run(batches):
         codec = _worker_codec(model.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and size < chunk_chars:
-                    size += len(texts[hi] or "")
-                    hi += 1
-                part = [t or "" for t in texts[lo:hi]]
-                flat, begin = codec.encode(part)
-                whole = flat.tolist()
-                same = [codec.decode(whole[a:b]) == t for t, a, b in zip(part, begin[:-1].tolist(), begin[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(begin)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat, type=pa.int32())), pa.array([len(t.encode()) for t in part], type=pa.int64()), pa.array(same)],
-                    names=["doc_id", "n_ids", "ids", "n_bytes", "round_trip"],
-                )
-                lo = hi
+            for lo in range(0, batch.num_rows, 2048):
+                yield from chunks(codec, batch.slice(lo, 2048))
         codec._forget()  # the worker may serve other operators next
+        release()
+
+    def chunks(codec, batch):
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and size < chunk_chars:
+                size += len(texts[hi] or "")
+                hi += 1
+            part = [t or "" for t in texts[lo:hi]]
+            flat, begin = codec.encode(part)
+            whole = flat.tolist()
+            same = [codec.decode(whole[a:b]) == t for t, a, b in zip(part, begin[:-1].tolist(), begin[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), pa.array(np.diff(begin)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(flat, type=pa.int32())), pa.array([len(t.encode()) for t in part], type=pa.int64()), pa.array(same)],
+                names=["doc_id", "n_ids", "ids", "n_bytes", "round_trip"],
+            )
+            lo = hi
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, n_bytes long, round_trip boolean")
