@@ -4,13 +4,14 @@ The kernel of two texts is the number of n-grams of 1 to 3 letters that both
 hold (presence, not counts), divided by the geometric mean of the kernels with
 themselves. Nystroem landmarks, a bounded sample of labelled texts, turn it into
 features; one ridge regression for each language on +1 / -1 is solved in closed
-form. A batch of texts is scored by matrix products: presence x landmarks x
-weights.
+form. Landmarks and regressions multiply to one weight for each n-gram and
+language, so a text is scored by adding up the weights of its n-grams.
 
-Training reads at most ``per_lang`` labelled rows of each of at most
-``max_langs`` languages (the most frequent ones), chosen by a hash of the id, and
-of each at most ``train_chars`` characters; excerpts of the same rows teach short
-texts. Predictions read whole texts.
+N-grams are of code points, so every alphabet is told apart. Training reads
+labelled rows of every language: at most ``per_lang`` of each and some
+``most_rows`` in all, so fewer of each where there are many languages; they are
+chosen by a hash of the id, and at most ``train_chars`` characters are read of
+each; excerpts of the same rows teach short texts. Predictions read whole texts.
 
 Defined cases: null text or text without letters is ``und`` with score 0; ties
 go to the first language by code point; a table without labelled rows gives
@@ -26,51 +27,49 @@ from pyspark.sql import functions as F
 
 from .common import plain, release
 
-#: Letter classes: 0 for what is no letter, 1..62 the most frequent letters, 63 any other letter.
-CLASSES = 64
-DIMS = CLASSES + CLASSES**2 + CLASSES**3
 UND = "und"
+#: Code points take 21 bits; no letter has these values, which mark what is no 3-gram.
+ONE, TWO = 0x1FFFFF, 0x1FFFFE
 
+_letters: list[np.ndarray] = []
 
-class Spectrum:
-    """Presence of letter n-grams of 1 to 3 classes."""
-
-    def __init__(self, letters: str):
-        self.table = np.zeros(0x110000, dtype=np.int32)
-        for cp in range(0x110000):
-            if chr(cp).isalpha():
-                self.table[cp] = CLASSES - 1
-        for k, c in enumerate(letters[: CLASSES - 2]):
-            self.table[ord(c)] = k + 1
-        self.seen = np.zeros(DIMS, dtype=bool)
-
-    def grams(self, text: str) -> np.ndarray:
-        """Marks the text's n-grams in ``seen`` and returns their places, repeats included."""
-        c = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        c = np.concatenate(([0], c, [0]))
-        two = c[:-1] * CLASSES + c[1:]
-        parts = [c[c > 0], CLASSES + two[two > 0]]
-        if len(c) > 2:
-            three = two[:-1] * CLASSES + c[2:]
-            parts.append(CLASSES + CLASSES**2 + three[(three > 0) & (c[1:-1] > 0)])
-        at = np.concatenate(parts)
-        self.seen[at] = True
-        return at
-
-
-def fit(samples: list[tuple[str, str]], landmarks_per_lang: int = 40, ridge: float = 1e-2, seed: int = 7) -> dict | None:
-    """The model from (text, lang) rows."""
+
+def letters() -> np.ndarray:
+    """Each code point's own value if it is a letter, else 0."""
+    if not _letters:
+        _letters.append(np.array([cp if chr(cp).isalpha() else 0 for cp in range(0x110000)], dtype=np.int64))
+    return _letters[0]
+
+
+def grams(text: str) -> np.ndarray:
+    """The text's distinct n-grams of 1 to 3 letters as sorted codes; a blank may stand at either end of one."""
+    c = letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    if not c.any():
+        return np.zeros(0, dtype=np.int64)
+    c = np.concatenate(([0], c, [0]))
+    left, right = c[:-1], c[1:]
+    some = (left | right) > 0
+    one = c[c > 0] | ONE << 21
+    two = (left << 42 | right)[some] | TWO << 21
+    three = (left[:-1] << 42 | c[1:-1] << 21 | right[1:])[c[1:-1] > 0]
+    at = np.concatenate((one, two, three))
+    at.sort()
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
+
+
+def places(vocab: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Where in the vocabulary those of the n-grams are that it has."""
+    at = np.searchsorted(vocab, s)
+    at[at == len(vocab)] = 0
+    return at[vocab[at] == s]
+
+
+def fit(samples: list[tuple[str, str]], landmarks_per_lang: int = 40, most_landmarks: int = 640, ridge: float = 1e-2, seed: int = 7) -> dict | None:
+    """The model from (text, lang) rows. Every language has landmarks, fewer where there are many languages."""
     samples = [(t, y) for t, y in samples if any(map(str.isalpha, t))]
     if not samples:
         return None
     rng = np.random.default_rng(seed)
-    freq: dict[str, int] = {}
-    for t, _ in samples:
-        for c in set(t.lower()):
-            if c.isalpha():
-                freq[c] = freq.get(c, 0) + 1
-    letters = "".join(sorted(sorted(freq), key=lambda c: -freq[c])[: CLASSES - 2])
-    sp = Spectrum(letters)
     texts, labels = [], []
     for t, y in samples:
         texts.append(t)
@@ -81,28 +80,27 @@ def fit(samples: list[tuple[str, str]], landmarks_per_lang: int = 40, ridge: flo
                 texts.append(t[k : k + n])
                 labels.append(y)
     langs = sorted(set(labels))
-    y = np.array([langs.index(x) for x in labels])
-    sets = []
-    for t in texts:
-        sets.append(np.unique(sp.grams(t)))
+    number = {x: k for k, x in enumerate(langs)}
+    y = np.array([number[x] for x in labels])
+    sets = [grams(t) for t in texts]
     keep = [i for i, s in enumerate(sets) if len(s)]
     sets, y = [sets[i] for i in keep], y[keep]
+    landmarks_per_lang = max(4, min(landmarks_per_lang, most_landmarks // len(langs)))
     marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:landmarks_per_lang] for k in range(len(langs))])
     vocab = np.unique(np.concatenate([sets[i] for i in marks]))
-    b = np.zeros((len(vocab), len(marks)), dtype=np.float32)
-    for j, i in enumerate(marks):
-        b[np.searchsorted(vocab, sets[i]), j] = 1
-    b /= np.sqrt(b.sum(axis=0, keepdims=True))
-
-    def kernel(rows: list[np.ndarray]) -> np.ndarray:
-        p = np.zeros((len(rows), len(vocab)), dtype=np.float32)
-        for r, s in enumerate(rows):
-            at = np.searchsorted(vocab, s)
-            at = at[(at < len(vocab)) & (vocab[np.minimum(at, len(vocab) - 1)] == s)]
-            p[r, at] = 1 / np.sqrt(len(s))
-        return p @ b
-
-    k = np.concatenate([kernel(sets[i : i + 512]) for i in range(0, len(sets), 512)]).astype(np.float64)
+    # The landmarks that hold each n-gram of the vocabulary, one list after another.
+    held = [places(vocab, sets[i]) for i in marks]
+    gram, mark = np.concatenate(held), np.repeat(np.arange(len(marks)), [len(h) for h in held])
+    mark = mark[np.argsort(gram, kind="stable")]
+    many = np.bincount(gram, minlength=len(vocab))
+    begin = np.cumsum(many) - many
+    root_size = np.sqrt([len(sets[i]) for i in marks])
+    k = np.zeros((len(sets), len(marks)))
+    for r, s in enumerate(sets):
+        at = places(vocab, s)
+        n = many[at]
+        lists = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        k[r] = np.bincount(mark[lists], minlength=len(marks)) / (root_size * np.sqrt(len(s)))
     values, vectors = np.linalg.eigh(k[marks])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -111,51 +109,42 @@ def fit(samples: list[tuple[str, str]], landmarks_per_lang: int = 40, ridge: flo
     weight = 1.0 / np.bincount(y, minlength=len(langs))[y]  # each language counts alike
     a = phi.T @ (phi * weight[:, None])
     w = np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)) * 1e-2, phi.T @ (goal * weight[:, None]))
-    return {"letters": letters, "langs": langs, "vocab": vocab, "marks": (b @ (root @ w[:-1]).astype(np.float32)), "bias": w[-1].astype(np.float32), "kernel": b, "weights": (root @ w[:-1]).astype(np.float32)}
+    weights = np.zeros((len(vocab), len(langs)), dtype=np.float32)
+    for at, row in zip(held, (root @ w[:-1]) / root_size[:, None]):
+        weights[at] += row.astype(np.float32)
+    return {"langs": langs, "vocab": vocab, "weights": weights, "bias": w[-1].astype(np.float32)}
 
 
 class Predictor:
     def __init__(self, model: dict):
-        self.m, self.sp = model, Spectrum(model["letters"])
+        self.m = model
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         m = self.m
         langs, out, score = m["langs"], [UND] * len(texts), np.zeros(len(texts))
-        for lo in range(0, len(texts), 256):
-            part = texts[lo : lo + 256]
-            p = np.zeros((len(part), len(m["vocab"])), dtype=np.float32)
-            some = np.zeros(len(part), dtype=bool)
-            for r, t in enumerate(part):
-                if not t:
-                    continue
-                at = self.sp.grams(t)
-                n = np.count_nonzero(self.sp.seen)
-                if n:
-                    some[r] = True
-                    p[r] = self.sp.seen[m["vocab"]]
-                    p[r] *= np.float32(1 / np.sqrt(n))
-                    self.sp.seen[at] = False
-            f = (p @ m["kernel"]) @ m["weights"] + m["bias"]
-            e = np.exp(4.0 * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
-            best = f.argmax(axis=1)
-            prob = e[np.arange(len(part)), best] / e.sum(axis=1)
-            for r in np.flatnonzero(some):
-                out[lo + r], score[lo + r] = langs[best[r]], prob[r]
+        for r, t in enumerate(texts):
+            s = grams(t) if t else ()
+            if not len(s):
+                continue
+            f = m["weights"][places(m["vocab"], s)].sum(axis=0) / np.float32(np.sqrt(len(s))) + m["bias"]
+            best = int(f.argmax())
+            out[r], score[r] = langs[best], 1 / np.exp(4.0 * (f - f[best]).astype(np.float64)).sum()
         return out, score
 
 
-def training_rows(labelled: DataFrame, per_lang: int = 300, max_langs: int = 64, train_chars: int = 8000) -> list[tuple[str, str]]:
-    """A bounded sample of (text, lang) rows of labelled (doc_id, text, lang)."""
-    counts = labelled.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+def training_rows(labelled: DataFrame, per_lang: int = 300, most_rows: int = 19_200, train_chars: int = 8000) -> list[tuple[str, str]]:
+    """A bounded sample of (text, lang) rows of labelled (doc_id, text, lang), with rows of every language."""
+    counts = labelled.where("lang IS NOT NULL").groupBy("lang").count().collect()  # one row a language
     if not counts:
         return []
+    per_lang = max(10, min(per_lang, most_rows // len(counts)))
     # About three times the wanted rows of each language pass a threshold on the hash; only those are ranked.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, 3.0 * per_lang / r[1] + 20 / r[1]))])
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = labelled.where("lang IS NOT NULL").withColumn("u", unit).where(F.col("u") < F.try_element_at(share, F.col("lang")))
     near = near.select("doc_id", "lang", "u", F.substring("text", 1, train_chars).alias("text"))
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "text"))).where(F.col("r") <= per_lang)
-    return [(r[0] or "", r[1]) for r in ranked.orderBy("lang", "r").select("text", "lang").collect()]  # at most max_langs * per_lang rows of train_chars
+    return [(r[0] or "", r[1]) for r in ranked.orderBy("lang", "r").select("text", "lang").collect()]  # some most_rows rows of train_chars
 
 
 _predictor: dict = {}
@@ -163,8 +152,17 @@ _predictor: dict = {}
 
 def predict_language(docs: DataFrame, labelled: DataFrame, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """doc_id, the columns of ``extra``, lang_pred, score. labelled: rows (doc_id, text, lang) to learn from."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(training_rows(plain(labelled, "doc_id", "text", "lang"), **limits)))  # a few MB: landmarks x their n-grams
+    return predict_with(learn(labelled, **limits), docs, extra, id_col, text_col)
+
+
+def learn(labelled: DataFrame, **limits) -> dict | None:
+    """The model of labelled rows (doc_id, text, lang); None where they teach nothing."""
+    return fit(training_rows(plain(labelled, "doc_id", "text", "lang"), **limits))
+
+
+def predict_with(model: dict | None, docs: DataFrame, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the columns of ``extra``, lang_pred, score by a model of ``learn``."""
+    model = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: the landmarks' n-grams x languages
     extra = extra or []
     d = plain(docs, id_col, text_col, *extra)
     d = d.toDF("doc_id", "_text", *extra)

@@ -410,3 +410,32 @@ def test_projection_passes_follow_the_rows():
     agree = 1 - math.acos(0.93) / math.pi
     met = agree ** math.log2(10**9 / 10)
     assert 1 - (1 - met) ** n[-1] >= 0.97
+
+
+SCRIPTS = {
+    "latin": "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēęěğīłńňőœřśšťůűźżž", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "russian": "абвгдежзийклмнопрстуфхцчшщ", "arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "chinese": "的一是不了在人有我他这中大来上个国和也子时道说", "japanese": "あいうえおかきくけこさしすせそたちつてと", "korean": "가나다라마바사아자차카타파하고노도로모보소오조초", "thai": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอ",
+}
+
+
+def test_language_of_several_scripts(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(8 * 60):
+        k = list(SCRIPTS)[i % 8]
+        rows.append((i, " ".join("".join(r.choice(SCRIPTS[k]) for _ in range(r.randint(2, 6))) for _ in range(r.randint(12, 40))), k))
+    # Many accented letters, which most training texts hold.
+    rows += [(1000 + i, " ".join(SCRIPTS["latin"]) + " abcdefghijklmnopqrstuvwxyz", "latin") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict_language(d, d.where("doc_id % 5 < 3"), ["lang"]).where("doc_id < 1000 and doc_id % 5 > 2").collect()
+    for k in SCRIPTS:
+        mine = [x.lang_pred == k for x in got if x.lang == k]
+        assert sum(mine) / len(mine) > 0.95, k
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(k * 12 + j, f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)} {chr(0x4E02 + 3 * k)}", f"l{k:02d}") for k in range(70) for j in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({y for _, y in language_id.training_rows(d)}) == 70
+    got = language_id.predict_language(d, d, ["lang"]).collect()
+    assert all(x.lang == x.lang_pred for x in got)
