@@ -9,40 +9,58 @@ from lumenframe.llm import exact_dedup, language_id, mixing, ngram_join, sentenc
 from lumenframe.llm.common import BROADCAST_IDS, Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The number of a row: decisions find their row by it, as ids may repeat or be null. The first stage gives it, the next ones keep it.
+ROW = "row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with numbers of rows; tables that have none are written with them, so each read gives the same ones."""
+    if ROW in docs.columns:
+        return docs.select(ROW, *COLUMNS)
+    return Workspace(docs.sparkSession, "rows").save(docs.select(F.monotonically_increasing_id().alias(ROW), *COLUMNS))
 
 
 def _with(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with the columns of rows (doc_id and decisions), for the doc_ids that rows has.
+    """docs with the columns of rows (numbers of rows and decisions), for the numbers that rows has.
 
     rows are written first, so they are counted; they are broadcast only when few.
     """
     rows = Workspace(docs.sparkSession, "stage").save(rows)
     n = rows.count()
-    return docs.select(*COLUMNS).join(F.broadcast(rows) if n <= BROADCAST_IDS else rows, "doc_id")
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_IDS else rows, ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language. Learns from all labelled documents; rejects those without letters."""
     predicted = language_id.predict_language(docs, docs, ["text", "lang", "source", "n_chars"])
-    return predicted.where(F.col("lang_pred") != language_id.UND).select(*COLUMNS)
+    return predicted.where(F.col("lang_pred") != language_id.UND).select(F.monotonically_increasing_id().alias(ROW), *COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the largest id of each text. Rows of one id and text are one document."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return _with(docs, kept).dropDuplicates(["doc_id"])
+    """Keeps one document of each text: that of the largest id; of several such rows, or of null ids only, the least by a hash of the row."""
+    docs = _numbered(docs)
+    found = exact_dedup.exact_dedup(docs.withColumn("tie", F.xxhash64(*COLUMNS)), extra=["tie", ROW]).where("kept")
+    kept = found.groupBy("text_sha256").agg(F.min(F.struct("tie", ROW)).alias("x")).select(f"x.{ROW}")
+    return _with(docs, kept).repartition(F.col(ROW))  # even parts: the next stage's memory follows the size of a part
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near copies (five-word shingles, similarity 0.8)."""
-    kept = ngram_join.jaccard_components(docs, k=5, num=80, den=100).where("doc_id = component_id").select("doc_id").distinct()
-    return _with(docs, kept)
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8).
+
+    It is that of the least id, null after all others; of several such rows, the least by a hash of the row.
+    """
+    docs = _numbered(docs)
+    found = ngram_join.jaccard_components(docs, k=5, num=80, den=100, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = docs.select(ROW, F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("tie"))
+    least = found.join(order, ROW).groupBy("component_id").agg(F.min(F.struct("no_id", "id", "tie", ROW)).alias("x"))
+    return _with(docs, least.select(f"x.{ROW}"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as the mix takes it: not at all, once or more."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias("copies"))
-    return _with(docs, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    docs = _numbered(docs)
+    taken = mixing.mix(docs.withColumn("tie", F.xxhash64(*COLUMNS)), extra=["tie", ROW]).where("copies > 0").select(ROW, F.col("copies").cast("int").alias("copies"))
+    return _with(docs, taken).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(ROW, *COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

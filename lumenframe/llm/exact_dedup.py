@@ -8,7 +8,7 @@ document has are done; the chains of the others are compared by their bytes.
 
 Defined cases: null text counts as empty; ids may repeat or be null (each input
 row gives one output row; rows that share the kept id are all ``kept``); an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; columns named in ``extra`` stay with their row, others are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +38,14 @@ def build_directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_D
     return done
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000) -> DataFrame:
-    """id, keep_id (largest id among equal texts), group_size, kept, text_sha256 and the index bucket."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, extra: list[str] | None = None) -> DataFrame:
+    """id, the columns of ``extra``, keep_id (largest id among equal texts), group_size, kept, text_sha256 and the index bucket."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
-    d = keyed(docs, id_col, text_col).toDF("doc_id", "text")
+    extra = extra or []
+    d = keyed(docs, id_col, text_col, *extra).toDF("doc_id", "text", *extra)
     norm = fold_ascii(F.coalesce("text", F.lit("")))
-    keys = ws.save(d.select("doc_id", norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    keys = ws.save(d.select("doc_id", norm.alias("norm"), *extra).select("doc_id", *extra, F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     entries = ws.save(keys.groupBy("h").agg(F.count("*").alias("n"), F.min("sha").alias("lo"), F.max("sha").alias("hi")))
     cell = F.shiftrightunsigned("h", 64 - MAX_DEPTH).cast("int")
     counts = {r[0]: r[1] for r in entries.groupBy(cell.alias("cell")).count().collect()}  # at most 2 ** MAX_DEPTH rows
@@ -55,7 +56,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_shared = shared.count()
     members = keys.join(F.broadcast(shared) if n_shared <= BROADCAST_IDS else shared, "h", "left_semi").where("doc_id IS NOT NULL").select("doc_id").distinct()
     n_members = members.count()
-    texts = d.join(F.broadcast(members) if n_members <= BROADCAST_IDS else members, "doc_id", "left_semi").unionByName(d.where("doc_id IS NULL"))
+    texts = d.join(F.broadcast(members) if n_members <= BROADCAST_IDS else members, "doc_id", "left_semi").select("doc_id", "text").unionByName(d.select("doc_id", "text").where("doc_id IS NULL"))
     chain = (
         texts.select("doc_id", norm.alias("norm"))
         .groupBy(F.xxhash64("norm").alias("h"), "norm")
@@ -69,6 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .join(directory, "cell")
         .select(
             "doc_id",
+            *extra,
             F.coalesce("keep_id", "doc_id").alias("keep_id"),
             F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
             F.coalesce(F.col("doc_id") == F.coalesce("keep_id", "doc_id"), F.col("keep_id").isNull()).alias("kept"),

@@ -12,7 +12,8 @@ documents, come near the target.
 
 Defined cases: null text has size 0; documents of size 0 are never taken and do
 not enter the ranks; a null source is a source, last in order; repeated rows are
-documents of their own; an empty table gives an empty result.
+documents of their own; columns named in ``extra`` stay with their row, and order
+rows of equal size and id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,12 +53,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return t.select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken; one row for each input row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", extra: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``extra``, size, source_size, target, copies, taken; one row for each input row."""
     ws = Workspace(docs.sparkSession, "mix")
-    d = keyed(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
+    extra = extra or []
+    d = keyed(docs, id_col, text_col, source_col, *extra).toDF("doc_id", "text", "source", *extra)
     sized = ws.save(
-        d.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        d.select("doc_id", "source", *extra, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         .withColumn("cls", F.when(F.col("size") > 0, F.length(F.bin("size")) * 100 + F.rpad(F.substring(F.bin("size"), 2, 2), 2, "0").cast("int")).otherwise(0))
         .withColumn("cell", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
     )
@@ -69,11 +71,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = base.alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "cls", "cell", "base", "source_size", "target")
     empty = cells.where("cls = 0").alias("b").join(goal.alias("g"), F.col("b.source").eqNullSafe(F.col("g.source"))).select("b.source", "cls", "cell", F.lit(0).cast("long").alias("base"), "source_size", "target")
     base = ws.save(base.unionByName(empty))
-    ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("source", "cls", "cell").orderBy("size", "doc_id")))
+    ranked = sized.withColumn("k", F.row_number().over(Window.partitionBy("source", "cls", "cell").orderBy("size", "doc_id", *extra)))
     j = ranked.alias("r").join(base.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.cls") == F.col("b.cls")) & (F.col("r.cell") == F.col("b.cell")))
     e, k, u = F.col("target") / F.col("source_size"), F.col("base") + F.col("k"), offset_of(F.col("r.source"), seed)
     copies = F.when(F.col("size") > 0, (F.floor(u + k * e) - F.floor(u + (k - 1) * e)).cast("long")).otherwise(F.lit(0).cast("long"))
-    return j.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return j.select("doc_id", *extra, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 ORACLE = r"""

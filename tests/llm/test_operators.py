@@ -439,3 +439,34 @@ def test_every_language_is_learnt(spark):
     assert len({y for _, y in language_id.training_rows(d)}) == 70
     got = language_id.predict_language(d, d, ["lang"]).collect()
     assert all(x.lang == x.lang_pred for x in got)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def run_pipeline(spark, path, rows):
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(i, t, y, s, len(t)) for i, t, y, s in rows], DOCS).repartition(3).write.parquet(str(path / "documents.parquet"))
+    docs, out = spark.read.parquet(str(path / "documents.parquet")), {}
+    ws = pipeline.Workspace(spark, "test")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = ws.save(stage(spark, docs, str(path)))
+        out[name] = collections.Counter((r.doc_id, r.text) for r in docs.collect())
+    return out
+
+
+def test_pipeline_with_ids_that_repeat_or_are_null(spark, tmp_path):
+    r = random.Random(9)
+    text = [" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(30)) for _ in range(12)]
+    near = text[8] + " more"
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (1, text[2]), (3, text[2].upper()), (None, text[3]), (None, text[4]), (None, text[4]), (None, text[5]), (7, text[5]), (7, text[6]), (7, text[7]), (9, text[8]), (9, near), (None, text[9]), (4, text[9] + " more"), (5, text[10]), (5, text[10])]
+    out = run_pipeline(spark, tmp_path, [(i, t, "en", "s") for i, t in rows])
+    want = [(1, text[0]), (2, text[1]), (3, text[2].upper()), (None, text[3]), (None, text[4]), (7, text[5]), (7, text[6]), (7, text[7]), (9, text[8]), (9, near), (None, text[9]), (4, text[9] + " more"), (5, text[10])]
+    assert out["language_id"] == collections.Counter(rows)
+    assert out["exact_dedup"] == collections.Counter(want)
+    left = out["ngram_jaccard_join"]
+    assert left == collections.Counter(x for x in want if x[1] not in (text[8], near, text[9])) + collections.Counter(x for x in left if x[1] in (text[8], near))
+    assert sum(left[9, t] for t in (text[8], near)) == 1
+    # One source of weight 1 takes each document once.
+    assert out["mixing"] == left
