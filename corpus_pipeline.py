@@ -11,6 +11,8 @@ from lumenframe.llm.common import BROADCAST_IDS, Workspace
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The number of a row: decisions find their row by it, as ids may repeat or be null. The first stage gives it, the next ones keep it.
 ROW = "row"
+#: The stage of language ID rejects documents of which no language gets this share of the classifier's score.
+LEAST_SCORE = 0.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -31,9 +33,15 @@ def _with(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language. Learns from all labelled documents; rejects those without letters."""
-    predicted = language_id.predict_language(docs, docs, ["text", "lang", "source", "n_chars"])
-    return predicted.where(F.col("lang_pred") != language_id.UND).select(F.monotonically_increasing_id().alias(ROW), *COLUMNS)
+    """Keeps documents with letters of which a language gets at least LEAST_SCORE. Learns from all labelled documents.
+
+    Where these teach nothing, all documents with letters stay.
+    """
+    model = language_id.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(F.monotonically_increasing_id().alias(ROW), *COLUMNS)
+    predicted = language_id.predict_with(model, docs, ["text", "lang", "source", "n_chars"])
+    return predicted.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select(F.monotonically_increasing_id().alias(ROW), *COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

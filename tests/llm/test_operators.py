@@ -470,3 +470,18 @@ def test_pipeline_with_ids_that_repeat_or_are_null(spark, tmp_path):
     assert sum(left[9, t] for t in (text[8], near)) == 1
     # One source of weight 1 takes each document once.
     assert out["mixing"] == left
+
+
+def test_pipeline_decides_by_the_classifier(spark, tmp_path):
+    r = random.Random(6)
+    parts = {"aa": "the ing tion and er".split(), "bb": "eux que ment é la".split(), "cc": "sch ung ö ich der".split(), "dd": "zione gli per che".split()}
+    make = lambda k: " ".join("".join(r.choice(parts[k]) for _ in range(2)) for _ in range(20))
+    rows = [(i, make(k), k, "s") for i, k in enumerate(list(parts) * 40)]
+    odd = [(900, "Ж Щ", None, "s"), (901, "жщ фы", None, "s")]  # nothing that a language's texts hold
+    out = run_pipeline(spark, tmp_path, rows + odd)["language_id"]
+    assert {i for i, _ in out} == {x[0] for x in rows}
+
+
+def test_pipeline_without_labels_keeps_documents(spark, tmp_path):
+    rows = [(1, "some words here", None, "s"), (2, "andere Wörter", None, "s"), (3, "123 $", None, "s")]
+    assert {i for i, _ in run_pipeline(spark, tmp_path, rows)["language_id"]} == {1, 2}
