@@ -485,3 +485,20 @@ def test_pipeline_decides_by_the_classifier(spark, tmp_path):
 def test_pipeline_without_labels_keeps_documents(spark, tmp_path):
     rows = [(1, "some words here", None, "s"), (2, "andere Wörter", None, "s"), (3, "123 $", None, "s")]
     assert {i for i, _ in run_pipeline(spark, tmp_path, rows)["language_id"]} == {1, 2}
+
+
+def test_embeddings_of_a_dense_label(spark):
+    r = np.random.default_rng(8)
+    norm = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    common, n = norm(r.standard_normal((1, 64))), 3000
+    base = norm(2.4 * common + norm(r.standard_normal((n, 64))))  # cosine 0.85 between most: few links
+    twin = norm(base[:400] + 0.36 * norm(r.standard_normal((400, 64))))  # cosine 0.94 with the original
+    v = np.concatenate([base, twin]).astype(np.float32)
+    u = norm(v.astype(np.float64))
+    d = spark.createDataFrame([(i, [float(y) for y in x], 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(np.triu(near))
+    assert len(a) > 300
+    comp = {x.vec_id: x.component_id for x in embedding_dedup.near_duplicates(d).collect()}
+    assert np.mean([comp[i] == comp[j] for i, j in zip(a.tolist(), b.tolist())]) >= 0.99
