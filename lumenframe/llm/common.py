@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Ids of at most this many rows (8 bytes each) may be broadcast.
 BROADCAST_IDS = 500_000
+#: Other tables of numbers may be broadcast if their counted rows, 8 bytes a column, are of at most this size.
+BROADCAST_BYTES = 2_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,21 +25,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; one of our own only where none is set and driver and executors are one process."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Workspace:
-    """Tables written to the shared folder: each cuts the lineage and survives lost executors."""
+    """Tables written to the shared folder: each cuts the lineage and survives lost executors.
+
+    What is left of them goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -65,6 +75,11 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, count: int | None = None)
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def join_small(df: DataFrame, other: DataFrame, on, how: str, count: int) -> DataFrame:
+    """A join whose counted right side (numbers only) is broadcast when it is small enough, and shuffles otherwise."""
+    return df.join(F.broadcast(other) if count * 8 * len(other.columns) <= BROADCAST_BYTES else other, on, how)
+
+
 def release() -> None:
     """Gives freed memory back to the system: Python workers outlive a task, and other operators run in them next."""
     pa.default_memory_pool().release_unused()
@@ -91,25 +106,25 @@ def keyed(df: DataFrame, id_col: str, *names: str) -> DataFrame:
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, comp), comp the least id.
 
-    Each round takes the least label among neighbours and then follows labels of
-    labels, so the rounds grow with the logarithm of the longest path. Labels stay
-    in the shared folder; only a count of changes comes to the driver. The join on
-    a hub's id is an ordinary skewed join, which adaptive execution splits.
+    Alternating stars: a large star links the greater neighbours of every vertex to
+    its least one, a small star does so with the smaller ones, until the edges are
+    stars around the least ids. The rounds grow with the logarithm of the longest
+    path. Edges stay in the shared folder; only their number and a checksum come to
+    the driver. Least neighbours are aggregated before they are shuffled, and the
+    join on a hub's id is a plain one, which adaptive execution splits.
     """
-    both = ws.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = ws.save(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")))
-    while True:  # labels only ever fall, so this ends
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        step = ws.save(step)
-        jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("far"))
-        new = ws.save(step.join(jump, "comp", "left").select("id", "old", F.coalesce("far", "comp").alias("comp")))
-        changed = new.where("comp <> old").limit(1).count()
-        ws.drop(labels, step)
-        labels = new
-        if not changed:
-            break
-    out = labels.select("id", "comp")
-    out._lumen_path = labels._lumen_path
-    ws.drop(both)
-    return out
+    now = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def sum_of(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    before, after = None, sum_of(now)
+    while before != after:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ws.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        new = ws.save(large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct())
+        ws.drop(now, large)
+        now, before, after = new, after, sum_of(new)
+    return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
