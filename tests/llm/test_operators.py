@@ -64,9 +64,41 @@ def test_exact_dedup(docs):
     assert len({r.bucket for r in got}) > 1
 
 
-def test_directory_splits():
-    d = exact_dedup.build_directory({0: 10, 1: 10, 4000: 3}, 10)
-    assert sorted(d)[0][:2] == (0, 0) and sum(hi - lo + 1 for lo, hi, _ in d) == 1 << exact_dedup.MAX_DEPTH
+def plain_buckets(hashes, capacity, start):
+    """(first bit prefix, depth) of each hash's bucket: split until no bucket is over capacity."""
+    out, todo = {}, [(p, start, [h for h in hashes if h >> (64 - start) == p]) for p in range(1 << start)]
+    while todo:
+        prefix, depth, mine = todo.pop()
+        if len(mine) > capacity and depth < 64:
+            todo += [(prefix << 1 | bit, depth + 1, [h for h in mine if h >> (63 - depth) & 1 == bit]) for bit in (0, 1)]
+        else:
+            out.update({h: (prefix, depth) for h in mine})
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 40, 1000])
+def test_directory_splits(spark, capacity):
+    r = random.Random(capacity)
+    hashes = {r.getrandbits(64) for _ in range(200)} | {(5 << 54) + r.getrandbits(50) for _ in range(60)}  # a crowded range
+    keys = spark.createDataFrame([(h - (1 << 64) if h >> 63 else h,) for h in hashes], "h long")
+    directory, depth, used = exact_dedup.build_directory(exact_dedup.Workspace(spark, "t"), keys, len(hashes), capacity)
+    cells = {x.cell: (x.bucket, x.local_depth) for x in directory.collect()}
+    start = max(1, int(math.log2(len(hashes) / capacity)) - 2 if len(hashes) > capacity else 1)
+    want = plain_buckets(hashes, capacity, start)
+    mask = (1 << 64) - 1
+    got = {h: cells[c if (c := h >> (64 - depth)) < 1 << 63 else c - (1 << 64)] for h in hashes}
+    assert {h: ((b & mask) >> (depth - local), local) for h, (b, local) in got.items()} == want
+    assert max(collections.Counter(b for b, _ in got.values()).values()) <= capacity and used == len(cells)
+
+
+def test_exact_dedup_of_a_hot_text(spark):
+    rows = [(i, "Same Text" if i % 3 else f"text {i // 6}") for i in range(600)] + [(None, "only"), (None, "same text"), (7, "same text")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), capacity=10).collect()
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t.lower()].append(i)
+    want = collections.Counter((i, max((x for x in groups[t.lower()] if x is not None), default=None), len(groups[t.lower()])) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
 
 
 def brute_targets(sizes, weights):
@@ -404,6 +436,38 @@ def test_pipeline(spark, tmp_path):
     assert len(pipeline.STAGES) == 5 and json.dumps([n for n, _ in pipeline.STAGES])
 
 
+def test_components_of_a_long_path(spark, monkeypatch):
+    from lumenframe.llm import common
+
+    n, r = 4096, random.Random(3)
+    ids = list(range(n))
+    r.shuffle(ids)
+    edges = list(zip(ids, ids[1:])) + [(n + 5, n + 9), (n + 9, n + 5), (n + 7, n + 7)]
+    ws = common.Workspace(spark, "path")
+    got = common.components(ws, spark.createDataFrame(edges, "a long, b long"))
+    assert {(x.id, x.comp) for x in got.collect()} == {(i, 0) for i in range(n)} | {(n + 5, n + 5), (n + 9, n + 5)}
+    assert (ws.n - 1) / 2 <= 20  # two tables a round
+
+
+def test_no_local_folder_on_a_cluster():
+    from lumenframe.llm import common
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Conf
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        common.shared_root(Session())
+
+
 def test_projection_passes_follow_the_rows():
     n = [embedding_dedup.passes_for(rows, 0.93, 10) for rows in (0, 10, 10_000, 10**6, 10**9)]
     assert n == sorted(n) and n[0] == 16 and n[-1] > n[2]
