@@ -2,7 +2,7 @@
 
 Every text becomes the set of its word n-grams, as 63-bit hashes; the global
 n-gram order is by hash, rare n-grams before frequent ones. Texts of equal sets
-are one class. Then:
+(by size and two further hashes, 126 bits, of the set) are one class. Then:
 
 1. Candidates by prefix. A pair of enough overlap shares an n-gram among the
    first ones of either set, so the lists of classes by such an n-gram hold every
@@ -21,6 +21,7 @@ are one class. Then:
    pair can link without sharing one.
 
 No step drops, caps or samples: each filter is a bound that a linked pair meets.
+Work tables are deleted as soon as nothing reads them.
 
 Defined cases: null text and text without words have an empty set and are alone
 in their component; fewer words than n make one n-gram of them all; equal texts
@@ -34,14 +35,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, FOLD, Workspace, components, keyed
+from .common import FOLD, Workspace, components, join_small, keyed
 
 FRAGMENTS = 8
-#: Tables of at most this many hashes (8 bytes each) may be broadcast.
-BROADCAST_HASHES = 2_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -103,10 +103,12 @@ def _pieces(batches, chars: int = 1_000_000):
             lo = hi
 
 
-def _class_id(s: np.ndarray) -> int:
+def _class_id(s: np.ndarray) -> tuple[int, int]:
+    """Two independent hashes of a set."""
     with np.errstate(over="ignore"):
         u = s.astype(np.uint64)
-        return int(_mix(np.array([_mix(u * _P + np.uint64(3)).sum() + np.uint64(len(s))], dtype=np.uint64))[0] >> np.uint64(1))
+        sums = np.array([_mix(u * _P + np.uint64(3)).sum(), _mix((u ^ _M2) * _M1 + np.uint64(11)).sum()], dtype=np.uint64)
+        return tuple((_mix(sums + np.uint64(len(s))) >> np.uint64(1)).tolist())
 
 
 class Rule:
@@ -133,11 +135,6 @@ class Rule:
         return min(n, p + p // 2 + 8)
 
 
-def _join_small(df: DataFrame, other: DataFrame, on, how: str, count: int, most: int = BROADCAST_HASHES) -> DataFrame:
-    """A join whose counted right side is broadcast when it is small enough, and shuffles otherwise."""
-    return df.join(F.broadcast(other) if count <= most else other, on, how)
-
-
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, heavy: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id; one row for each input row."""
     spark = docs.sparkSession
@@ -145,123 +142,141 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     d = keyed(docs, id_col, text_col).toDF("doc_id", "text")
 
     def signatures(batches):
+        # The table is written before anything reads it, so a task that runs anew may number its rows anew.
+        row = TaskContext.get().partitionId() << 33
         for ids, texts in _pieces(batches):
             sets = shingle_sets(texts, k)
             first = [s[: rule.kept(len(s))] if len(s) else s for s in sets]
+            keys = [_class_id(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], type=pa.int64()), pa.array([_class_id(s) if len(s) else None for s in sets], type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate(first)))],
-                names=["doc_id", "n", "cid", "first"],
+                [pa.array(range(row, row + len(sets)), type=pa.int64()), ids, pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array([x[i] for x in keys], type=pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32)), pa.array(np.concatenate(first)))],
+                names=["row", "doc_id", "n", "k1", "k2", "first"],
             )
+            row += len(sets)
 
-    sig = ws.save(d.mapInArrow(signatures, "doc_id long, n long, cid long, first array<long>"))
-    classes = ws.save(sig.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")))
+    # Classes: c is the number of one of their rows, which stands for them.
+    sig = ws.save(d.mapInArrow(signatures, "row long, doc_id long, n long, k1 long, k2 long, first array<long>"))
+    classes = ws.save(sig.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("row").alias("c"), F.min("doc_id").alias("least")))
     n_classes = classes.count()
-    reps = _join_small(sig.where("n > 0").select("cid", F.coalesce("doc_id", F.lit(-1)).alias("least"), "n", "first"), classes.select("cid", F.coalesce("least", F.lit(-1)).alias("least")), ["cid", "least"], "left_semi", n_classes)
-    postings = reps.select("cid", "n", F.posexplode("first").alias("pos", "s"))
+    reps = ws.save(join_small(sig.withColumnRenamed("row", "c"), classes.select("c"), "c", "left_semi", n_classes).select("c", "n", "first"))
+    members = ws.save(sig.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "c"), ["n", "k1", "k2"], "left").select("doc_id", "n", "c"))
+    ws.drop(sig)
+
+    # Postings that another class shares, each with the number of heavy n-grams up to it.
+    postings = reps.select("c", "n", F.posexplode("first").alias("pos", "s"))
     shared = ws.save(postings.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
-    matched = ws.save(_join_small(postings, shared, "s", "inner", shared.count()).distinct())
     is_heavy = F.col("df") >= heavy
-    up = Window.partitionBy("cid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    matched = matched.withColumn("heavies", F.sum(is_heavy.cast("int")).over(up)).withColumn("rank", F.col("pos") + 1 - F.col("heavies"))
-    n_kept = F.least(F.col("n"), rule.prefix_col(F.col("n")) + F.floor(rule.prefix_col(F.col("n")) / 2) + 8)
-    crowded = ws.save(matched.groupBy("cid").agg(F.max("n").alias("n"), F.max("heavies").alias("h")).where(F.col("h") > 0).where(n_kept - F.col("h") < rule.prefix_col(F.col("n"))).select("cid"))
+    up = Window.partitionBy("c").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    matched = ws.save(join_small(postings, shared, "s", "inner", shared.count()).withColumn("heavies", F.sum(is_heavy.cast("int")).over(up)))
+    p = rule.prefix_col(F.col("n"))
+    n_kept = F.least(F.col("n"), p + F.floor(p / 2) + 8)
+    crowded = ws.save(matched.groupBy("c").agg(F.max("n").alias("n"), F.max("heavies").alias("h")).where((F.col("h") > 0) & (n_kept - F.col("h") < p)).select("c"))
     n_crowded = crowded.count()
-    light = ws.save(_join_small(matched.where(~is_heavy & (F.col("rank") <= rule.prefix_col(F.col("n")))).select("s", "cid", "n"), crowded, "cid", "left_anti", n_crowded))
+    light = ws.save(join_small(matched.where(~is_heavy & (F.col("pos") + 1 - F.col("heavies") <= p)).select("s", "c", "n"), crowded, "c", "left_anti", n_crowded))
+    ws.drop(matched)
+
+    def pair(x: str, y: str, nx: str, ny: str) -> list[Column]:
+        swap = F.col(x) > F.col(y)
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(swap, F.col(ny)).otherwise(F.col(nx)).alias("na"), F.when(swap, F.col(nx)).otherwise(F.col(ny)).alias("nb")]
 
     def candidates(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-        """Pairs (a, b, na, nb), a < b, of rows (s, cid, n) that share s."""
-        x, y = left.select("s", F.col("cid").alias("x"), F.col("n").alias("nx")), right.select("s", F.col("cid").alias("y"), F.col("n").alias("ny"))
-        fit = rule.sizes_fit(F.col("nx"), F.col("ny"))
-        j = x.join(y, (x["s"] == y["s"]) & ((F.col("x") < F.col("y")) if same else (F.col("x") != F.col("y"))) & fit)
-        swap = F.col("x") > F.col("y")
-        return j.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")).distinct()
+        """Pairs (a, b, na, nb), a < b, of rows (s, c, n) that share s."""
+        x, y = left.select("s", F.col("c").alias("x"), F.col("n").alias("nx")), right.select("s", F.col("c").alias("y"), F.col("n").alias("ny"))
+        j = x.join(y, (x["s"] == y["s"]) & ((F.col("x") < F.col("y")) if same else (F.col("x") != F.col("y"))) & rule.sizes_fit(F.col("nx"), F.col("ny")))
+        return j.select(*pair("x", "y", "nx", "ny")).distinct()
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        """Those that the first fragment's overlap leaves possible."""
-        r = reps.select("cid", "first")
-        j = pairs.join(r.toDF("a", "fa"), "a").join(r.toDF("b", "fb"), "b")
+        """Those of the distinct pairs that the first fragment's overlap leaves possible.
+
+        Its n-grams travel as their upper 31 bits, in the same order. Those of one
+        set that fall together are counted as common, so the bound stays one.
+        """
+        need = ws.save(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct())
+        r = join_small(reps, need, "c", "left_semi", need.count()).select("c", F.transform("first", lambda x: F.shiftright(x, 32).cast("int")).alias("f"))
+        r = r.select("c", "f", (F.size("f") - F.size(F.array_distinct("f"))).alias("twice"))
+        j = pairs.join(r.toDF("a", "fa", "ta"), "a").join(r.toDF("b", "fb", "tb"), "b")
         end = F.least(F.element_at("fa", -1), F.element_at("fb", -1))
-        common = F.size(F.array_intersect("fa", "fb"))
-        rest = F.least(F.col("na") - F.size(F.filter("fa", lambda x: x <= end)), F.col("nb") - F.size(F.filter("fb", lambda x: x <= end)))
-        return j.where(common + rest >= rule.overlap_col(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
+        common = F.size(F.array_intersect("fa", "fb")) + F.least("ta", "tb")
+        rest = F.least(F.col("na") - F.size(F.filter("fa", lambda x: x < end)), F.col("nb") - F.size(F.filter("fb", lambda x: x < end)))
+        out = ws.save(j.where(common + rest >= rule.overlap_col(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"))
+        ws.drop(need)
+        return out
 
-    def full(cids: DataFrame, n_cids: int) -> DataFrame:
-        """Whole sets of classes: rows (cid, n, frag, part)."""
+    def full(cs: DataFrame, n_cs: int) -> DataFrame:
+        """Whole sets of classes: rows (c, n, frag, part)."""
 
         def cut(batches):
             for _, texts in _pieces(batches):
                 sets = [s for s in shingle_sets(texts, k) if len(s)]
-                rows = [(c, len(s), f, part) for s in sets for c in [_class_id(s)] for f, part in enumerate(np.split(s, np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << 60))) if len(part)]
-                parts = [r[3] for r in rows]
+                rows = [(len(s), *key, f, part) for s in sets for key in [_class_id(s)] for f, part in enumerate(np.split(s, np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.int64) << 60))) if len(part)]
+                parts = [r[4] for r in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([r[i] for r in rows], type=t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))],
-                    names=["cid", "n", "frag", "part"],
+                    [*(pa.array([r[i] for r in rows], type=t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.int32()))), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))],
+                    names=["n", "k1", "k2", "frag", "part"],
                 )
 
-        ids = _join_small(classes, cids, "cid", "left_semi", n_cids).select(F.col("least").alias("doc_id")).distinct()
-        known = ids.where("doc_id IS NOT NULL")
-        texts = _join_small(d, known, "doc_id", "left_semi", n_cids, BROADCAST_IDS).unionByName(d.where("doc_id IS NULL"))
-        rows = texts.mapInArrow(cut, "cid long, n long, frag int, part array<long>")
-        return ws.save(_join_small(rows, cids, "cid", "left_semi", n_cids).dropDuplicates(["cid", "frag"]))
+        want = ws.save(join_small(classes, cs, "c", "left_semi", n_cs))
+        texts = join_small(d, want.where("least IS NOT NULL").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi", n_cs).unionByName(d.where("doc_id IS NULL"))
+        rows = texts.mapInArrow(cut, "n long, k1 long, k2 long, frag int, part array<long>")
+        out = ws.save(join_small(rows, want.select("n", "k1", "k2", "c"), ["n", "k1", "k2"], "inner", n_cs).select("c", "n", "frag", "part").dropDuplicates(["c", "frag"]))
+        ws.drop(want)
+        return out
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose fragments' overlaps sum to enough."""
-        x, y = sets.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa")), sets.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
-        j = pairs.join(x, "a").join(y, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("c"))
-        total = j.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        return total.where(F.col("c") * den >= (F.col("na") + F.col("nb") - F.col("c")) * num).select("a", "b")
-
-    empty_pairs = spark.createDataFrame([], "a long, b long, na long, nb long")
-    pairs = [ws.save(bounded(ws.save(candidates(light, light, True))))]
-    lists = None
+        x, y = sets.select(F.col("c").alias("a"), "frag", F.col("part").alias("pa")), sets.select(F.col("c").alias("b"), "frag", F.col("part").alias("pb"))
+        j = pairs.join(x, "a").join(y, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("m"))
+        total = j.groupBy("a", "b", "na", "nb").agg(F.sum("m").alias("m"))
+        return total.where(F.col("m") * den >= (F.col("na") + F.col("nb") - F.col("m")) * num).select("a", "b")
+
+    found = [candidates(light, light, True)]
+    used, lists = [light], None
     if n_crowded:
         own = full(crowded, n_crowded)
-        order = Window.partitionBy("cid").orderBy("s")
-        grams = own.select("cid", "n", F.explode("part").alias("s"))
-        p = rule.prefix_col(F.col("n"))
+        order = Window.partitionBy("c").orderBy("s")
+        grams = own.select("c", "n", F.explode("part").alias("s"))
         # Against the others: the first light n-grams of the whole set, in the order of step 1.
         heavy_s = ws.save(shared.where(is_heavy).select("s"))
-        first_light = ws.save(_join_small(grams, heavy_s, "s", "left_anti", heavy_s.count()).withColumn("r", F.row_number().over(order)).where(F.col("r") <= p).select("s", "cid", "n"))
+        first_light = ws.save(join_small(grams, heavy_s, "s", "left_anti", heavy_s.count()).withColumn("r", F.row_number().over(order)).where(F.col("r") <= p).select("s", "c", "n"))
         wanted = ws.save(first_light.select("s").distinct())
-        met = _join_small(postings.select("s", "cid", "n"), wanted, "s", "left_semi", wanted.count())
-        met = _join_small(met, crowded, "cid", "left_anti", n_crowded)
-        pairs.append(ws.save(bounded(candidates(first_light, met, False))))
+        met = join_small(postings.select("s", "c", "n"), wanted, "s", "left_semi", wanted.count())
+        found.append(candidates(first_light, join_small(met, crowded, "c", "left_anti", n_crowded), False))
         # Among themselves: their own order.
         own_df = ws.save(grams.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
-        placed = grams.withColumn("pos", F.row_number().over(order))
-        met = _join_small(placed, own_df, "s", "inner", own_df.count()).withColumn("heavies", F.sum(is_heavy.cast("int")).over(up))
-        met = ws.save(met.withColumn("lights", F.col("n") - F.sum(is_heavy.cast("int")).over(Window.partitionBy("cid"))))
-        own_light = met.where(~is_heavy & (F.col("pos") - F.col("heavies") <= p)).select("s", "cid", "n")
-        pairs.append(ws.save(bounded(candidates(own_light, own_light, True))))
-        lists = ws.save(met.where(is_heavy & (F.col("heavies") <= p - F.col("lights"))).select("s", "cid", "n", "lights", "heavies"))
-        hubs = ws.save(lists.groupBy("s").agg(F.min_by(F.struct("cid", "n"), F.struct("lights", "cid")).alias("hub")).select("s", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n")))
-        pairs.append(ws.save(bounded(candidates(lists, hubs, False))))
-    possible = ws.save(reduce(DataFrame.union, pairs, empty_pairs).distinct())
-    need = possible.select(F.col("a").alias("cid")).union(possible.select("b")).distinct()
-    if n_crowded:
-        need = _join_small(need, crowded, "cid", "left_anti", n_crowded)
-    need = ws.save(need)
+        met = join_small(grams.withColumn("pos", F.row_number().over(order)), own_df, "s", "inner", own_df.count()).withColumn("heavies", F.sum(is_heavy.cast("int")).over(up))
+        met = ws.save(met.withColumn("lights", F.col("n") - F.sum(is_heavy.cast("int")).over(Window.partitionBy("c"))))
+        own_light = met.where(~is_heavy & (F.col("pos") - F.col("heavies") <= p)).select("s", "c", "n")
+        found.append(candidates(own_light, own_light, True))
+        lists = ws.save(met.where(is_heavy & (F.col("heavies") <= p - F.col("lights"))).select("s", "c", "n", "lights", "heavies"))
+        hubs = ws.save(lists.groupBy("s").agg(F.min_by(F.struct("c", "n"), F.struct("lights", "c")).alias("hub")).select("s", F.col("hub.c").alias("c"), F.col("hub.n").alias("n")))
+        found.append(candidates(lists, hubs, False))
+        used += [heavy_s, first_light, wanted, own_df, met]
+    met_pairs = ws.save(reduce(DataFrame.union, found).distinct())
+    ws.drop(shared, *used)
+    possible = bounded(met_pairs)
+    need = possible.select(F.col("a").alias("c")).union(possible.select("b")).distinct()
+    need = ws.save(join_small(need, crowded, "c", "left_anti", n_crowded))
     sets = full(need, need.count())
-    if n_crowded:
-        sets = sets.union(own)
-    links = ws.save(linked(possible, sets))
+    links = ws.save(linked(possible, sets.union(own) if n_crowded else sets))
+    ws.drop(met_pairs, possible, need, sets)
     comp = components(ws, links)
     if n_crowded:
-        labelled = lists.join(comp.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        labelled = ws.save(labelled)
-        hub_comp = labelled.join(hubs.select("s", F.col("cid").alias("hub")), "s").where("cid = hub").select("s", F.col("comp").alias("hub_comp"))
-        stray = labelled.join(hub_comp, "s").where("comp <> hub_comp").select("s", F.col("cid").alias("x"), F.col("n").alias("nx"), (F.col("lights") + F.col("heavies")).alias("px"), F.col("comp").alias("cx"))
-        rest = labelled.select("s", F.col("cid").alias("y"), F.col("n").alias("ny"), (F.col("lights") + F.col("heavies")).alias("py"), F.col("comp").alias("cy"))
+        labelled = ws.save(lists.join(comp.select(F.col("id").alias("c"), "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c")))
+        hub_comp = labelled.join(hubs.select("s", F.col("c").alias("hub")), "s").where("c = hub").select("s", F.col("comp").alias("hub_comp"))
+        reach = F.col("lights") + F.col("heavies")
+        stray = labelled.join(hub_comp, "s").where("comp <> hub_comp").select("s", F.col("c").alias("x"), F.col("n").alias("nx"), reach.alias("px"), F.col("comp").alias("cx"))
+        rest = labelled.select("s", F.col("c").alias("y"), F.col("n").alias("ny"), reach.alias("py"), F.col("comp").alias("cy"))
         # Pairs that share a light n-gram are candidates already. In the others the first common n-gram is
         # a heavy one, after all light ones of either set, and not later than the sizes of the pair allow.
         most = rule.overlap_col(F.col("nx"), F.col("ny"))
         fit = rule.sizes_fit(F.col("nx"), F.col("ny")) & (F.col("px") <= F.col("nx") - most + 1) & (F.col("py") <= F.col("ny") - most + 1)
-        swap = F.col("x") > F.col("y")
-        more = stray.join(rest, "s").where((F.col("cx") != F.col("cy")) & fit).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")).distinct()
-        more = ws.save(bounded(more))
+        more = ws.save(stray.join(rest, "s").where((F.col("cx") != F.col("cy")) & fit).select(*pair("x", "y", "nx", "ny")).distinct())
+        ws.drop(labelled, lists, hubs)
         if more.limit(1).count():
-            links = ws.save(links.union(linked(more, own)))
+            links = ws.save(links.union(linked(bounded(more), own)))
             comp = components(ws, links)
-    least = comp.join(classes.select(F.col("cid").alias("id"), "least"), "id").groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = ws.save(classes.join(comp.join(least, "comp").select(F.col("id").alias("cid"), "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "least").alias("component_id")))
-    return sig.select("doc_id", "n", "cid").join(of_class, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        ws.drop(more, own)
+    ws.drop(reps)
+    least = comp.join(classes.select(F.col("c").alias("id"), "least"), "id").groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_class = ws.save(classes.join(comp.join(least, "comp").select(F.col("id").alias("c"), "component_id"), "c", "left").select("c", F.coalesce("component_id", "least").alias("component_id")))
+    return members.join(of_class, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
