@@ -414,6 +414,72 @@ def test_host_boilerplate(spark):
     assert sorted(r.text for r in got) == sorted("Unique " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(40))
 
 
+def plain_extract(pages, span):
+    """Texts of pages (host, [(block, open)]): every stretch of span tokens that another, different page of the host holds goes."""
+    out = []
+    streams = [[w for t, _ in left for w in t.split()] for _, left in pages]
+    grams = [{tuple(s[i : i + span]) for i in range(len(s) - span + 1)} for s in streams]
+    for me, (host, left) in enumerate(pages):
+        others = [grams[k] for k, (h, _) in enumerate(pages) if h == host and streams[k] != streams[me]]
+        s, gone = streams[me], set()
+        for i in range(len(s) - span + 1):
+            if any(tuple(s[i : i + span]) in g for g in others):
+                gone |= set(range(i, i + span))
+        texts, lo = [], 0
+        for t, is_open in left:
+            words = t.split()
+            keep = list(words)
+            i = 0
+            while is_open and i < len(words):
+                j = i
+                while j < len(words) and lo + j in gone:
+                    j += 1
+                if j - i >= span or j - i == len(words):
+                    keep[i:j] = [None] * (j - i)
+                i = max(j, i + 1)
+            lo += len(words)
+            if any(w is not None for w in keep):
+                texts.append(" ".join(w for w in keep if w is not None))
+        out.append("\n".join(texts))
+    return out
+
+
+@pytest.mark.parametrize("span", [2, 4, 8])
+def test_host_suffix_array_against_all_stretches(spark, span):
+    r = random.Random(span)
+    passages = [" ".join(r.choice(WORDS) for _ in range(r.randint(3, 25))) for _ in range(8)]
+    pages = []
+    for i in range(50):
+        parts = [(r.choice(passages) if r.random() < 0.5 else " ".join(f"{r.choice(WORDS)}{r.randint(0, 40)}" for _ in range(r.randint(1, 12))), True) for _ in range(r.randint(0, 9))]
+        pages.append((f"h{min(i % 5, 2)}.org", parts))
+    pages += [pages[3], pages[3]]  # copies of a page are one page
+    rows = [(i, f"http://{h}/{i}", "".join(f"<p>{t}</p>" for t, _ in left)) for i, (h, left) in enumerate(pages)]
+    got = {x.page_id: x.text for x in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6), span=span).collect()}
+    assert [got[i] for i in range(len(pages))] == plain_extract(pages, span)
+
+
+def test_hints_in_an_article_go_by_repetition(spark):
+    note = "All rights of this text are held by the people who wrote it"
+    page = "<article><p>Keep {0}</p><div class='legal'>{1}</div><section class='related-work'>Work {0} came before</section></article>"
+    rows = [(i, f"http://a.org/{i}", page.format(f"one{i}", note if i < 3 else "Only this page says so")) for i in range(4)]
+    rows += [(None, "http://b.org/", page.format("x", note)), (4, None, page.format("y", "z")), (4, None, page.format("y", "z"))]
+    got = sorted((r.page_id is None, r.page_id or 0, r.text) for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    text = lambda x, legal: "\n".join(t for t in (f"Keep {x}", legal, f"Work {x} came before") if t)
+    want = [(False, i, text(f"one{i}", "" if i < 3 else "Only this page says so")) for i in range(4)] + [(False, 4, text("y", "z"))] * 2 + [(True, 0, text("x", note))]
+    assert got == want
+
+
+def test_deep_markup_is_linear():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        t = time.perf_counter()
+        assert html_extraction.blocks("<div>" * n + "x" + "</div></b>" * n) == [("x", False, False, False)]
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * took[0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
 
