@@ -42,7 +42,10 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     names = {c: c + suffix if c in taken else c for c in rcols}
     ltype = dict(left.dtypes)[left_on]
     stamp = ltype.startswith("timestamp") or ltype == "date"
-    number = (lambda c: F.unix_micros(c.cast("timestamp"))) if stamp else (lambda c: c.cast("double") if ltype in ("double", "float") else c.cast("long"))
+    # Decimals keep their fraction: one decimal type for both sides, wide enough for either.
+    whole = all(dict(f.dtypes)[c] in ("tinyint", "smallint", "int", "bigint") for f, c in ((left, left_on), (right, right_on)))
+    exact = "bigint" if whole else "double" if "double" in (kinds := (ltype, dict(right.dtypes)[right_on])) or "float" in kinds else "decimal(38,12)"
+    number = (lambda c: F.unix_micros(c.cast("timestamp"))) if stamp else (lambda c: c.cast(exact))
     keys = [f"__b{i}" for i in range(len(by))]
     rows = F.struct(*[F.col(f"`{c}`") for c in rcols]).alias("__r")
     r = right.where(F.col(f"`{right_on}`").isNotNull()).select(*[F.col(f"`{b}`").alias(k) for b, k in zip(by, keys)], number(F.col(f"`{right_on}`")).alias("__k"), rows)

@@ -77,7 +77,7 @@ def runs(df: DataFrame, column: str, order: list[Column], partition: list[str] |
 
 
 def interpolate(df: DataFrame, columns: list[str], order: list[Column], partition: list[str] | None = None, by: str | None = None) -> DataFrame:
-    """Linear between known values by row position, or by the values of ``by``; the ends stay null."""
+    """Linear between known values by row position, or by the values of ``by``. The ends take the nearest known value; by ``by`` they stay null."""
     w = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order)
     df = df.withColumn("__x", _c(by).cast("double") if by else F.row_number().over(w).cast("double"))
     for c in columns:
@@ -85,7 +85,8 @@ def interpolate(df: DataFrame, columns: list[str], order: list[Column], partitio
         df = df.withColumn("__a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
         a, b = F.col("__a"), F.col("__b")
         line = a["y"] + (b["y"] - a["y"]) * (F.col("__x") - a["x"]) / (b["x"] - a["x"])
-        df = df.withColumn(c, F.when(_c(c).isNotNull(), _c(c).cast("double")).when(a.isNotNull() & b.isNotNull(), line)).drop("__a", "__b")
+        filled = F.when(_c(c).isNotNull(), _c(c).cast("double")).when(a.isNotNull() & b.isNotNull(), line)
+        df = df.withColumn(c, filled if by else filled.otherwise(F.coalesce(a["y"], b["y"]))).drop("__a", "__b")
     return df.drop("__x")
 
 

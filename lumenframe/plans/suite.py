@@ -327,7 +327,7 @@ def run_lengths(t):
     return t.events.sort(["ts", "event_id"]).rle("event_type", ["user_id"])
 
 
-@query("""SELECT event_id, CASE WHEN x IS NOT NULL THEN x WHEN a IS NULL OR b IS NULL THEN NULL ELSE a.y + (b.y - a.y) * (i - a.i) / (b.i - a.i) END AS x FROM (
+@query("""SELECT event_id, CASE WHEN x IS NOT NULL THEN x WHEN a IS NULL OR b IS NULL THEN coalesce(a.y, b.y) ELSE a.y + (b.y - a.y) * (i - a.i) / (b.i - a.i) END AS x FROM (
  SELECT event_id, x, i, last_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS a, first_value(k IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM (
  SELECT *, CASE WHEN x IS NOT NULL THEN {'i': i, 'y': x} END AS k FROM (SELECT *, CASE WHEN value > 50 THEN value END AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::DOUBLE AS i FROM events)))""")
 def interpolate(t):
@@ -580,3 +580,6 @@ def sql_set_operations():
 def sql_order_windows():
     return """SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_orderpriority, '1-URGENT'), o_orderkey) AS n, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS quarter,
         lag(o_totalprice, 1, 0.0) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders ORDER BY coalesce(nullif(o_orderpriority, '1-URGENT'), NULL), o_orderkey LIMIT 500"""
+
+
+from . import families  # noqa: E402, F401  (registers its queries here)

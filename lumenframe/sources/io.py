@@ -32,8 +32,9 @@ def scan_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return LazyFrame(widen(df) if widened else df)
 
 
-def scan_csv(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", schema: str | None = None) -> LazyFrame:
-    r = spark.read.option("header", has_header).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", True)
+def scan_csv(spark: SparkSession, path: str, has_header: bool = True, separator: str = ",", schema: str | None = None, quoted_newlines: bool = True) -> LazyFrame:
+    """Fields may hold line breaks; where they do not, ``quoted_newlines=False`` lets Spark cut a large file into many tasks. A schema saves the pass that infers one."""
+    r = spark.read.option("header", has_header).option("sep", separator).option("quote", '"').option("escape", '"').option("multiLine", quoted_newlines)
     df = (r.schema(schema) if schema else r.option("inferSchema", True)).csv(resolve(path))
     if not has_header and schema is None:
         df = df.toDF(*[f"column_{i + 1}" for i in range(len(df.columns))])

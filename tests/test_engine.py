@@ -6,6 +6,7 @@ import os
 import pytest
 
 from lumenframe import Frame, LazyFrame, Series, SQLContext, all_, col, count, lit, struct_cols, when
+from lumenframe.operators import joins
 from lumenframe.sources import io
 
 NAN = float("nan")
@@ -229,3 +230,21 @@ def test_serialize(spark):
     assert s.rolling_sum_by(by, 2).to_list() == [6.0, None, 5.0]
     with pytest.raises(NotImplementedError):
         f.write_excel("x")
+
+
+def test_as_of_keys_that_are_decimals(spark):
+    make = lambda rows, name: Frame(spark.createDataFrame(rows, f"k string, {name} int").selectExpr("cast(k AS decimal(10,2)) AS k", name))
+    left, right = make([("1.10", 1), ("1.60", 2), ("2.00", 3), ("0.50", 4)], "a"), make([("1.50", 10), ("1.05", 20), ("2.00", 30)], "b")
+    got = joins.asof(left.df, right.df, "k", "k", [])
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, 20), (2, 10), (3, 30), (4, None)]
+
+
+def test_interpolation_fills_the_ends(spark):
+    f = Frame(spark.createDataFrame([(i, v) for i, v in enumerate([None, 2.0, None, 4.0, None])], "i int, v double")).sort("i").interpolate("v")
+    assert [r.v for r in f.sorted_spark().orderBy("i").collect()] == [2.0, 2.0, 3.0, 4.0, 4.0]
+
+
+def test_csv_without_line_breaks_in_fields(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,"x, y"\n2,z\n')
+    for quoted in (True, False):
+        assert [tuple(r) for r in io.scan_csv(spark, str(tmp_path / "x.csv"), quoted_newlines=quoted).to_spark().collect()] == [(1, "x, y"), (2, "z")]
