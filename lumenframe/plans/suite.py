@@ -334,7 +334,9 @@ def interpolate(t):
     return t.events.sort(["ts", "event_id"]).with_columns(when(col("value") > 50.0, col("value"), None).alias("x")).interpolate("x", partition=["user_id"]).select("event_id", "x")
 
 
-@query(None)
+@query("""WITH RECURSIVE n AS MATERIALIZED (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, value AS ewm FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, 0.3::DOUBLE * n.value + 0.7::DOUBLE * r.ewm FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
+SELECT event_id, ewm FROM r""")
 def ewm_mean(t):
     return t.events.sort(["ts", "event_id"]).ewm("value", 0.3, "ewm", ["user_id"]).select("event_id", "ewm")
 
