@@ -1,24 +1,28 @@
 """LM scoring by context-tree weighting, beside a unigram word model.
 
 Byte model: a byte is eight binary decisions; each decision has a context tree
-over the preceding 0, 1 and 2 bytes. A node estimates by Krichevsky-Trofimov
+over the preceding 0 to ``depth`` bytes. A node estimates by Krichevsky-Trofimov
 counts, and a node's probability of its training bits is half its own estimate
 and half the product of its children's. The same weights, descending from the
 root to the text's context, mix the estimates of all depths into the probability
-of a decision. They depend on the two preceding bytes only, so all of them fit
-one table of at most 2 ** 16 contexts x 256 bytes of float32 (64 MB, whatever
-the corpus), and scoring is one lookup for each byte. Counts come from all
-training documents and meet in a shuffle.
-
-Word model (base score): texts are read once; each task gathers blocks of texts
-with the block's distinct words by hash range. The ranges sum the words' counts
-over all blocks and send each block its own words' counts; only that travels, not
-texts. Blocks hold a bounded number of characters and ranges grow with the
-corpus, so a frequent word is one entry for each block and no range is hot.
+of a decision. The tree grows with the corpus: it has a node for every context
+that occurs in any document (contexts of held-out documents count zero there,
+which leaves all weights as they are).
+
+A gram is a byte and its context in one long, latest context byte first. Texts
+are read once; each task gathers blocks of texts with the block's distinct grams
+and words and cuts both into ranges by hash, a gram by its latest depth - 2 bytes.
+Ranges stream the chunks of all blocks, so a range holds its distinct grams and
+words, never the chunks together. The tree is then climbed two levels at a time:
+nodes that share all but the last two bytes of their context meet in one task,
+at most 2 ** 24 nodes whatever the corpus. Weights come down the same way, ranges
+turn them into the log probability of each gram, and send each block its own
+grams' and words' values, from which the block's texts are scored.
 
 Defined cases: null text counts as empty: one end token, byte score 0; training
-documents may be none (all counts are 0); ids may repeat or be null; further
-columns are ignored.
+documents may be none (all counts are 0, each byte costs 8 bits); ids may repeat
+or be null; an empty table gives no rows; further columns are ignored. Words count
+as equal by 63 bits of a hash; grams are exact.
 """
 
 from __future__ import annotations
@@ -29,45 +33,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Workspace, plain
+from .common import FOLD, Workspace, release
 
 #: The end token; no word holds a space.
 END = b" "
-BLOCK_CHARS = 24_000_000
-
-
-def byte_counts(train: DataFrame) -> DataFrame:
-    """(code long, n long): how often two bytes and then a third occur; code joins the three. Texts begin after two zero bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(1 << 24, dtype=np.uint32)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            buf: list[bytes] = []
-            size = 0
-            for k, t in enumerate(texts):
-                if t:
-                    buf.append(t.encode())
-                    size += len(buf[-1]) + 2
-                if buf and (size > 8_000_000 or k == len(texts) - 1):
-                    a = np.frombuffer(b"\0\0" + b"\0\0".join(buf), dtype=np.uint8).astype(np.int64)
-                    ends = np.cumsum([len(x) + 2 for x in buf])[:-1]
-                    code = a[:-2] << 16 | a[1:-1] << 8 | a[2:]
-                    ok = np.ones(len(code), dtype=bool)
-                    ok[ends - 2], ok[ends - 1] = False, False  # the padding itself is not predicted
-                    found, n = np.unique(code[ok], return_counts=True)
-                    total[found] += n.astype(np.uint32)
-                    buf, size = [], 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["code", "n"])
-
-    return train.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+DEPTH = 6
+BLOCK_CHARS = 16_000_000
+#: Bytes of text that are turned into grams at a time.
+PIECE = 2_000_000
+RANGES = 65536
+LN2 = math.log(2)
 
 
+# numbers --------------------------------------------------------------------------
 _LG = np.array([math.lgamma(k + 0.5) for k in range(64)])
 _LF = np.array([math.lgamma(k + 1.0) for k in range(64)])
 
@@ -91,164 +74,368 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _lgamma_half(a) + _lgamma_half(b) - math.log(math.pi) - _lfact(a + b)
 
 
-def context_tree(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each two-byte context, log10 probability of each byte in each row).
+def pack(a: np.ndarray) -> bytes:
+    """Numbers of one type as bytes, planes of equal significance together; ascending ones as differences."""
+    if a.dtype == np.int64 and len(a) and (np.diff(a) >= 0).all():
+        return b"d" + zstandard.compress(np.diff(a, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return b"p" + zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
+
+
+def unpack(b: bytes, dtype=np.int64) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    a = np.ascontiguousarray(np.frombuffer(zstandard.decompress(b[1:]), dtype=np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+    return np.cumsum(a) if b[:1] == b"d" else a
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the counts of each."""
+    k, n = np.concatenate([np.zeros(0, dtype=np.int64), *keys]), np.concatenate([np.zeros(0, dtype=np.int64), *counts])
+    if not len(k):
+        return k, n
+    order = np.argsort(k, kind="stable")
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[first], np.add.reduceat(n, first)
+
+
+# the tree -------------------------------------------------------------------------
+def grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """The gram of every byte of the texts, in order; each text begins after zero bytes."""
+    pad = b"\0" * depth
+    a = np.frombuffer(pad + pad.join(texts), dtype=np.uint8).astype(np.int64)
+    code = a[depth:].copy()
+    for i in range(1, depth + 1):
+        code |= a[depth - i : len(a) - i] << 8 * (depth + 1 - i)
+    ends = np.cumsum([len(t) + depth for t in texts])[:-1]
+    keep = np.ones(len(code), dtype=bool)
+    keep[(ends[:, None] - depth + np.arange(depth)).ravel()] = False  # the padding itself is not predicted
+    return code[keep]
+
 
-    Contexts that training lacks share the rows of their last byte, or the row of
-    the empty context.
+def leaves(g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(node, zeros, ones) of the deepest contexts of ascending grams, and for each decision the node of each gram.
+
+    A node is its context and, in the last byte, the bits decided before after a leading one.
     """
-    ctx, byte = codes >> 8, codes & 255
-    seen2, r2 = np.unique(ctx, return_inverse=True)
-    c2 = np.zeros((len(seen2), 256))
-    np.add.at(c2, (r2, byte), n)
-    seen1, r1 = np.unique(seen2 & 255, return_inverse=True)
-    c1 = np.zeros((len(seen1), 256))
-    np.add.at(c1, r1, c2)
-    c0 = c1.sum(axis=0, keepdims=True)
-    p0, p1, p2 = np.zeros((1, 256)), np.zeros((len(seen1), 256)), np.zeros((len(seen2), 256))
-    for depth in range(8):
-        width = 256 >> depth
-        for k in range(1 << depth):
-            lo, mid, hi = k * width, k * width + width // 2, (k + 1) * width
-            z0, z1, z2 = (c[:, lo:mid].sum(axis=1) for c in (c0, c1, c2))
-            o0, o1, o2 = (c[:, mid:hi].sum(axis=1) for c in (c0, c1, c2))
-            e0, e1, w2 = log_kt(z0, o0), log_kt(z1, o1), log_kt(z2, o2)
-            below1 = np.bincount(r1, w2, minlength=len(seen1)) if len(seen2) else np.zeros(0)
-            w1 = np.logaddexp(e1, below1) - math.log(2)
-            stop1 = np.exp(e1 - math.log(2) - w1)
-            below0 = w1.sum()
-            w0 = np.logaddexp(e0, below0) - math.log(2)
-            stop0 = np.exp(e0 - math.log(2) - w0)
-            q0, q1, q2 = (o0 + 0.5) / (z0 + o0 + 1), (o1 + 0.5) / (z1 + o1 + 1), (o2 + 0.5) / (z2 + o2 + 1)
-            # A context that training lacks adds a child of probability 1, which leaves the weights as they are and estimates 1/2.
-            m1 = stop1 * q1 + (1 - stop1) * 0.5
-            m2 = stop0 * q0 + (1 - stop0) * (stop1[r1] * q1[r1] + (1 - stop1[r1]) * q2)
-            m1 = stop0 * q0 + (1 - stop0) * m1
-            m0 = stop0 * q0 + (1 - stop0) * 0.5
-            for p, m in ((p0, m0), (p1, m1), (p2, m2)):
-                p[:, mid:hi] += np.log10(m)[:, None]
-                p[:, lo:mid] += np.log10(1 - m)[:, None]
-    rows = np.full(1 << 16, len(seen2) + len(seen1), dtype=np.int32)
-    for k, last in enumerate(seen1):
-        rows[np.arange(256) << 8 | last] = len(seen2) + k
-    rows[seen2] = np.arange(len(seen2))
-    return rows, np.concatenate([p2, p1, p0]).astype(np.float32)
-
-
-def byte_score(text: bytes, rows: np.ndarray, table: np.ndarray) -> float:
-    if not text:
-        return 0.0
-    a = np.frombuffer(b"\0\0" + text, dtype=np.uint8).astype(np.int32)
-    return float(table[rows[a[:-2] << 8 | a[1:-1]], a[2:]].sum(dtype=np.float64))
+    keys, zeros, ones, at, done = [], [], [], [], 0
+    for j in range(8):
+        key, bit = g >> 8 << 8 | 1 << j | (g & 255) >> (8 - j), g >> (7 - j) & 1
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        first = np.flatnonzero(new)
+        keys.append(key[first])
+        zeros.append(np.add.reduceat(n * (1 - bit), first) if len(first) else n)
+        ones.append(np.add.reduceat(n * bit, first) if len(first) else n)
+        at.append(np.cumsum(new) - 1 + done)
+        done += len(first)
+    return np.concatenate(keys), np.concatenate(zeros).astype(float), np.concatenate(ones).astype(float), at
+
+
+def climb(key: np.ndarray, z: np.ndarray, o: np.ndarray, weight: np.ndarray):
+    """The nodes of the contexts one byte shorter: node, zeros, ones, log weighted probability, the share of their own estimate, and the place of each child's."""
+    up, inv = np.unique(key >> 16 << 8 | key & 255, return_inverse=True)
+    m = len(up)
+    zu, ou = np.bincount(inv, z, m), np.bincount(inv, o, m)
+    e = log_kt(zu, ou)
+    w = np.logaddexp(e, np.bincount(inv, weight, m)) - LN2
+    return up, zu, ou, w, np.exp(e - LN2 - w), inv
+
+
+def mixed(acc: np.ndarray, rest: np.ndarray, z: np.ndarray, o: np.ndarray, stop) -> tuple[np.ndarray, np.ndarray]:
+    """Adds a level: the probability of a one mixed so far, and the share left to deeper contexts."""
+    return acc + rest * stop * (o + 0.5) / (z + o + 1), rest * (1 - stop)
+
+
+def two_down(key, z, o, weight, top, acc, rest, leaf: bool):
+    """acc and rest of nodes, from those (ascending) of the contexts two bytes shorter."""
+    up, zu, ou, wu, stop, inv = climb(key, z, o, weight)
+    at = np.searchsorted(top, up >> 16 << 8 | up & 255)
+    a, r = mixed(acc[at], rest[at], zu, ou, stop)
+    return mixed(a[inv], r[inv], z, o, 1.0 if leaf else np.exp(log_kt(z, o) - LN2 - weight))
+
+
+def gram_logs(g: np.ndarray, n: np.ndarray, top: np.ndarray, acc: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 probability of each gram."""
+    key, z, o, at = leaves(g, n)
+    p, _ = two_down(key, z, o, log_kt(z, o), top, acc, rest, True)
+    one, zero = np.log10(p), np.log10(1 - p)
+    return sum((np.where(g >> (7 - j) & 1, one[i], zero[i]) for j, i in enumerate(at)), np.zeros(len(g)))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in pieces that cut no run of equal values of it."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        rows += b.num_rows
+        if rows >= size:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = np.searchsorted(cols[0], cols[0][-1])
+            if cut:
+                yield [c[:cut] for c in cols]
+            held, rows = [[c[cut:] for c in cols]], rows - cut
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
+NODES = "key long, z double, o double, w double"
+
+
+def _batch(schema: str, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
+
+
+def climb_two(nodes: DataFrame) -> DataFrame:
+    """The nodes of the contexts two bytes shorter."""
+
+    def run(batches):
+        for _, key, z, o, w in whole_groups(batches):
+            for _ in range(2):
+                key, z, o, w, *_ = climb(key, z, o, w)
+            yield _batch(NODES, key, z, o, w)
+
+    return nodes.select(F.shiftright("key", 24).alias("grp"), "key", "z", "o", "w").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, NODES)
+
+
+MIXED = "key long, acc double, rest double"
+
+
+def descend_two(nodes: DataFrame, above: DataFrame) -> DataFrame:
+    """acc and rest of nodes, from those of the contexts two bytes shorter."""
+
+    def run(batches):
+        for _, top, key, a, b, w in whole_groups(batches):
+            t = np.flatnonzero(top)
+            t = t[np.argsort(key[t])]
+            c = ~top.astype(bool)
+            yield _batch(MIXED, key[c], *two_down(key[c], a[c], b[c], w[c], key[t], a[t], b[t], False))
+
+    both = nodes.select(F.shiftright("key", 24).alias("grp"), F.lit(False).alias("top"), "key", F.col("z").alias("a"), F.col("o").alias("b"), "w")
+    both = both.union(above.select(F.shiftright("key", 8), F.lit(True), "key", "acc", "rest", F.lit(0.0)))
+    return both.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, MIXED)
+
+
+def at_root(nodes: DataFrame) -> DataFrame:
+    """acc and rest of the root's nodes: at most 255 rows."""
+
+    def run(batches):
+        for _, key, z, o, w in whole_groups(batches):
+            yield _batch(MIXED, key, *mixed(np.zeros(len(key)), np.ones(len(key)), z, o, np.exp(log_kt(z, o) - LN2 - w)))
+
+    return nodes.select(F.lit(0).alias("grp"), "key", "z", "o", "w").mapInArrow(run, MIXED)
+
+
+# texts ----------------------------------------------------------------------------
 def _word_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) >> 1
 
 
-def score(docs: DataFrame, training: DataFrame, in_training, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def range_of(ctx: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each context of depth - 2 bytes."""
+    return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
+
+
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about PIECE bytes; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= PIECE:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, the columns of ``extra``, n_tokens, n_known, train_tokens, base_score, score, bytes; one row for each input row.
 
-    training: the rows of docs to learn bytes from; in_training: the same rows as a boolean Column on docs.
+    in_training: the rows of docs to learn from, as a boolean Column; depth: the longest context in bytes, 2, 4 or 6.
     """
+    if depth not in (2, 4, 6):
+        raise ValueError("depth is 2, 4 or 6")
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
-    pairs = byte_counts(plain(training, text_col)).orderBy("code").toPandas()  # at most 2 ** 24 rows, about as many as the corpus has byte triples
-    model = spark.sparkContext.broadcast(context_tree(pairs["code"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.float64)))
     extra = extra or []
     names = [id_col, text_col, *extra]
     d = docs.select(*[F.col(f"`{n}`") for n in names], F.coalesce(in_training, F.lit(False)).alias("_train")).toDF("doc_id", "_text", *extra, "_train")
     kept = [f for f in d.schema.fields if f.name not in ("_text", "_train")]
     size = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    ranges = int(min(4096, max(16, size // 8_000_000)))
+    ranges = int(min(RANGES, max(16, size // 8_000_000)))
 
     def gather(batches: Iterator[pa.RecordBatch]):
-        rows, table = model.value
-        state = {"words": {}, "docs": [], "cols": [], "size": 0, "n": 0}
+        part, done = TaskContext.get().partitionId(), 0
+        texts: list[bytes] = []
+        learn: list[bool] = []
+        cols: list[pa.RecordBatch] = []
+        filled = 0
 
         def flush():
-            words, got = state["words"], state["docs"]
-            if not got:
-                return
-            hashes = np.fromiter(map(_word_hash, words), dtype=np.int64, count=len(words))
-            order = np.argsort(hashes, kind="stable")
-            place = np.empty(len(order), dtype=np.int64)
-            place[order] = np.arange(len(order))
-            hashes = hashes[order]
-            train = np.zeros(len(order), dtype=np.int64)
-            for ids, n, learn, _, _ in got:
-                if learn:
-                    train[place[ids]] += n
             # The table is written before anything reads it, so a task that runs anew may number its blocks anew.
-            block = TaskContext.get().partitionId() << 24 | state["n"]
-            state["n"] += 1
-            # One row for each document: its words' places in the block, and how often each occurs.
-            cols = pa.Table.from_batches(state["cols"])
-            out = [pa.array([block] * len(got), type=pa.int64()), pa.nulls(len(got), pa.int32())]
-            out += [pa.array([place[i].astype(np.int32).tobytes() for i, *_ in got]), pa.array([n.astype(np.int32).tobytes() for _, n, *_ in got])]
-            out += [pa.array([s for *_, s, _ in got]), pa.array([nb for *_, nb in got], type=pa.int64())]
-            out += [c.combine_chunks() for c in cols.columns]
-            yield pa.RecordBatch.from_arrays(out, names=schema_names)
-            cut = np.searchsorted(hashes, (np.arange(ranges + 1, dtype=np.float64) * (float(1 << 63) / ranges)).astype(np.uint64).clip(0, (1 << 63) - 1).astype(np.int64))
-            cut[-1] = len(hashes)
-            r = np.arange(ranges)
-            parts = [(hashes[a:b].tobytes(), train[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-            out = [pa.array([block] * ranges, type=pa.int64()), pa.array(r, type=pa.int32()), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts]), pa.nulls(ranges, pa.float64()), pa.nulls(ranges, pa.int64())]
-            out += [pa.nulls(ranges, c.type) for c in cols.columns]
-            yield pa.RecordBatch.from_arrays(out, names=schema_names)
-            state.update(words={}, docs=[], cols=[], size=0)
+            block = part << 24 | done
+            count: dict[bytes, int] = {}
+            for t, g in zip(texts, learn):
+                for w in [*t.translate(FOLD).split(), END]:
+                    count[w] = count.get(w, 0) + g
+            w, wn = summed([np.fromiter(map(_word_hash, count), dtype=np.int64, count=len(count))], [np.fromiter(count.values(), dtype=np.int64, count=len(count))])
+            del count
+            found, times = [], []
+            for trained in (True, False):
+                for piece in pieces([t for t, g in zip(texts, learn) if g == trained and t]):
+                    k, n = np.unique(grams(piece, depth), return_counts=True)
+                    found.append(k)
+                    times.append(n * trained)
+            g, gn = summed(found, times)
+            del found, times
+            table = pa.Table.from_batches(cols).combine_chunks()
+            out = [pa.array([block] * len(texts), type=pa.int64()), pa.nulls(len(texts), pa.int32()), pa.array(texts, type=pa.binary()), *[pa.nulls(len(texts), pa.binary())] * 3]
+            for lo in range(0, len(texts), 4096):
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, 4096) for x in out), *(c.combine_chunks().slice(lo, 4096) for c in table.columns)], names=schema_names)
+            gr, wr = range_of(g >> 24, ranges), w % ranges
+            go, wo = np.argsort(gr, kind="stable"), np.argsort(wr, kind="stable")
+            g, gn, w, wn = g[go], gn[go], w[wo], wn[wo]
+            gc, wc = np.searchsorted(gr[go], np.arange(ranges + 1)), np.searchsorted(wr[wo], np.arange(ranges + 1))
+            for lo in range(0, ranges, 64):
+                r = [k for k in range(lo, min(lo + 64, ranges)) if gc[k] < gc[k + 1] or wc[k] < wc[k + 1]]
+                blobs = [pa.array([pack(x[c[k] : c[k + 1]]) for k in r], type=pa.binary()) for x, c in ((g, gc), (gn, gc), (w, wc), (wn, wc))]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(r), type=pa.int64()), pa.array(r, type=pa.int32()), *blobs, *(pa.nulls(len(r), c.type) for c in table.columns)], names=schema_names)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
                 names_ = b.schema.names
-                texts, learn = b.column(1).to_pylist(), b.column(len(names_) - 1).to_pylist()
-                state["cols"].append(pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, len(names_) - 1))], names=[names_[0], *names_[2:-1]]))
-                words = state["words"]
-                for t, g in zip(texts, learn):
-                    raw = (t or "").encode()
-                    ids = [words.setdefault(w, len(words)) for w in raw.translate(FOLD).split()]
-                    ids.append(words.setdefault(END, len(words)))
-                    u, n = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-                    state["docs"].append((u, n, g, byte_score(raw, rows, table), len(raw)))
-                    state["size"] += len(raw)
-                if state["size"] >= block_chars or len(state["docs"]) >= 60_000:
+                raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+                texts += raw
+                learn += b.column(len(names_) - 1).to_pylist()
+                cols.append(pa.RecordBatch.from_arrays([b.column(0), *(b.column(i) for i in range(2, len(names_) - 1))], names=[names_[0], *names_[2:-1]]))
+                filled += sum(map(len, raw))
+                if filled >= block_chars or len(texts) >= 60_000:
                     yield from flush()
-        yield from flush()
-
-    schema_names = ["block", "range", "a", "b", "score", "bytes", *[f.name for f in kept]]
-    schema = "block long, range int, a binary, b binary, score double, bytes long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    gathered = ws.save(d.mapInArrow(gather, schema))
-
-    def add_up(table: pa.Table) -> pa.Table:
-        blocks = table.column("block").to_pylist()
-        hs = [np.frombuffer(x, dtype=np.int64) for x in table.column("a").to_pylist()]
-        ns = [np.frombuffer(x, dtype=np.int64) for x in table.column("b").to_pylist()]
-        words, inverse = np.unique(np.concatenate(hs), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(ns), minlength=len(words)).astype(np.int64)
-        cuts = np.cumsum([len(h) for h in hs])[:-1]
-        own = [total[i].tobytes() for i in np.split(inverse, cuts)]
-        r = table.column("range")[0].as_py()
-        out = [(b, r, x, None, None) for b, x in zip(blocks, own)] + [(None, r, None, int(total.sum()), int((total > 0).sum()))]
-        return pa.table({"block": pa.array([x[0] for x in out], type=pa.int64()), "range": pa.array([x[1] for x in out], type=pa.int32()), "c": pa.array([x[2] for x in out], type=pa.binary()), "n": pa.array([x[3] for x in out], type=pa.int64()), "v": pa.array([x[4] for x in out], type=pa.int64())})
-
-    words = gathered.where("range IS NOT NULL").select("block", "range", "a", "b")
-    summed = ws.save(words.groupBy("range").applyInArrow(add_up, "block long, range int, c binary, n long, v long"))
-    n, v = summed.where("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+                    texts, learn, cols, filled, done = [], [], [], 0, done + 1
+        if texts:
+            yield from flush()
+        texts, cols = [], []
+        release()
+
+    schema_names = ["block", "range", "a", "b", "c", "d", *[f.name for f in kept]]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    gathered = ws.save(d.mapInArrow(gather, f"block long, range int, a binary, b binary, c binary, d binary, {fields}"))
+    chunks = gathered.where("range IS NOT NULL").select("range", "block", "a", "b", "c", "d")
+
+    def add_up(batches: Iterator[pa.RecordBatch]):
+        now, parts, held = None, ([], [], [], []), 0
+
+        def merge():
+            (parts[0][:], parts[1][:]), (parts[2][:], parts[3][:]) = ([[x] for x in summed(parts[i], parts[i + 1])] for i in (0, 2))
+
+        def emit():
+            merge()
+            n = parts[3][0]
+            return _batch(totals, [now], *([pack(p[0])] for p in parts), [int(n.sum())], [int((n > 0).sum())]).cast(pa.schema([("range", pa.int32()), *((x, pa.binary()) for x in "abcd"), ("n", pa.int64()), ("v", pa.int64())]))
+
+        for b in batches:
+            for r, *blobs in zip(b.column(0).to_pylist(), *(b.column(i).to_pylist() for i in range(2, 6))):
+                if r != now:
+                    if now is not None:
+                        yield emit()
+                    now, parts, held = r, ([], [], [], []), 0
+                for p, x in zip(parts, blobs):
+                    p.append(unpack(x))
+                held += len(parts[0][-1]) + len(parts[2][-1])
+                if held > 4_000_000 + 2 * len(parts[0][0]):
+                    merge()
+                    held = 0
+        if now is not None:
+            yield emit()
+        release()
+
+    totals = "range int, a binary, b binary, c binary, d binary, n long, v long"
+    total = ws.save(chunks.repartition("range").sortWithinPartitions("range").mapInArrow(add_up, totals))
+    n_train, v_train = total.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def upper(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key, z, o, _ = leaves(unpack(g), unpack(n))
+                w = log_kt(z, o)
+                for _ in range(2):
+                    key, z, o, w, *_ = climb(key, z, o, w)
+                yield _batch(NODES, key, z, o, w)
+
+    levels = [ws.save(total.select("a", "b").mapInArrow(upper, NODES))]
+    while len(levels) < depth // 2:
+        levels.append(ws.save(climb_two(levels[-1])))
+    top = at_root(levels[-1])
+    for nodes in reversed(levels[:-1]):
+        top = descend_two(nodes, top)
+
+
+    def with_range(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            key = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(key >> 8, ranges), type=pa.int32()), *b.columns], names=["range", "key", "acc", "rest"])
+
+    def values(batches: Iterator[pa.RecordBatch]):
+        above: list[list[np.ndarray]] = []
+        g = logs = w = wn = None
+        for b in batches:
+            at, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                run = b.slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    above.append([run.column(i).to_numpy(zero_copy_only=False) for i in (7, 8, 9)])
+                elif kind[lo] == 1:
+                    g, gn, w, wn = (unpack(run.column(i)[0].as_py()) for i in (3, 4, 5, 6))
+                    key, acc, rest = (np.concatenate(x) for x in zip(*above)) if above else (np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+                    o = np.argsort(key)
+                    logs = gram_logs(g, gn, key[o], acc[o], rest[o]).astype(np.float32)
+                    above = []
+                else:
+                    for block, a, c in zip(run.column(2).to_pylist(), run.column(3).to_pylist(), run.column(5).to_pylist()):
+                        lp, times = logs[np.searchsorted(g, unpack(a))], wn[np.searchsorted(w, unpack(c))]
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at[lo]], type=pa.int32()), *(pa.array([x], type=pa.binary()) for x in (a, pack(lp), c, pack(times)))], names=["block", "range", "a", "b", "c", "d"])
+        release()
+
+    none = F.lit(None)
+    stream = top.mapInArrow(with_range, "range int, " + MIXED).select("range", F.lit(0).alias("kind"), none.cast("long").alias("block"), *[none.cast("binary").alias(x) for x in "abcd"], "key", "acc", "rest")
+    for k, t in enumerate((total.select("*", none.cast("long").alias("block")), chunks.select("range", "block", "a", none.cast("binary").alias("b"), "c", none.cast("binary").alias("d"))), 1):
+        stream = stream.union(t.select("range", F.lit(k), "block", "a", "b", "c", "d", none.cast("long"), none.cast("double"), none.cast("double")))
+    valued = stream.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(values, "block long, range int, a binary, b binary, c binary, d binary")
+    floor = math.log10(n_train + v_train + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("range")
-        c = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in right.column("c").to_pylist()] or [np.zeros(0, dtype=np.int64)])
-        logs = np.log10(c + 1.0)
+        g = np.concatenate([unpack(x) for x in right.column("a").to_pylist()])
+        lp = np.concatenate([unpack(x, np.float32) for x in right.column("b").to_pylist()])
+        w = np.concatenate([unpack(x) for x in right.column("c").to_pylist()])
+        c = np.concatenate([unpack(x) for x in right.column("d").to_pylist()])
+        (go, wo), texts = (np.argsort(x, kind="stable") for x in (g, w)), left.column("a").to_pylist()
+        g, lp, w, c = g[go], lp[go], w[wo], c[wo]
+        scores: list[np.ndarray] = []
+        for piece in pieces(texts):
+            size = np.array([len(t) for t in piece])
+            logs = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(g, grams(piece, depth))], dtype=np.float64)]) if size.sum() else np.zeros(1)
+            ends = np.cumsum(size)
+            scores.append(logs[ends] - logs[ends - size])
+        times: dict[bytes, int] = {}
         toks, known, base = [], [], []
-        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            at, k = np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.int32)
-            toks.append(int(k.sum()))
-            known.append(int(k[c[at] > 0].sum()))
-            base.append(float((logs[at] * k).sum()) - toks[-1] * math.log10(n + v + 1))
+        for t in texts:
+            words = [*t.translate(FOLD).split(), END]
+            for x in words:
+                if x not in times:
+                    times[x] = int(c[np.searchsorted(w, _word_hash(x))])
+            n = [times[x] for x in words]
+            toks.append(len(n))
+            known.append(sum(x > 0 for x in n))
+            base.append(float(np.log10(np.array(n) + 1.0).sum()) - len(n) * floor)
         cols = {f.name: left.column(f.name) for f in kept}
-        return pa.table(cols | {"n_tokens": pa.array(toks, type=pa.int64()), "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array([n] * len(toks), type=pa.int64()), "base_score": pa.array(base, type=pa.float64()), "score": left.column("score"), "bytes": left.column("bytes")})
-
-    rows_ = gathered.where("range IS NULL").select("block", "a", "b", "score", "bytes", *[f"`{f.name}`" for f in kept])
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long"
-    return rows_.groupBy("block").cogroup(summed.where("block IS NOT NULL").select("block", "range", "c").groupBy("block")).applyInArrow(finish, out)
+        cols |= {"n_tokens": pa.array(toks, type=pa.int64()), "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array([n_train] * len(toks), type=pa.int64()), "base_score": pa.array(base, type=pa.float64())}
+        out = pa.table(cols | {"score": pa.array(np.concatenate(scores)), "bytes": pa.array([len(t) for t in texts], type=pa.int64())})
+        del g, lp, w, c, times
+        release()
+        return out
+
+    rows = gathered.where("range IS NULL").select("block", "a", *[f"`{f.name}`" for f in kept])
+    schema = fields + ", n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long"
+    return rows.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(finish, schema)

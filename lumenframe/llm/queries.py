@@ -46,7 +46,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
-    return lm_scoring.score(docs, docs.where("NOT held_out"), ~F.col("held_out"), ["held_out"])
+    return lm_scoring.score(docs, ~F.col("held_out"), ["held_out"])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

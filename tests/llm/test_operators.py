@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats and odd columns."""
 
 import collections
+import functools
 import hashlib
 import json
 import math
@@ -9,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def test_empty_tables(spark, nothing):
     assert pii.find_spans(nothing).count() == 0
     assert sentencepiece_codec.encode_decode(nothing).count() == 0
     assert language_id.predict_language(nothing, nothing).count() == 0
-    assert lm_scoring.score(nothing, nothing, F.lit(True)).count() == 0
+    assert lm_scoring.score(nothing, F.lit(True)).count() == 0
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -294,7 +296,7 @@ def test_lm(spark, docs):
         if r.doc_id % 5:
             c.update(words[r.doc_id])
     n, v = sum(c.values()), len(c)
-    got = lm_scoring.score(docs, docs.where(train), train, block_chars=2000).collect()
+    got = lm_scoring.score(docs, train, block_chars=2000).collect()
     assert len(got) == len(rows)
     for r in got:
         w = words[r.doc_id]
@@ -303,48 +305,68 @@ def test_lm(spark, docs):
         assert r.score <= 0 and (r.score < 0) == bool(r.bytes)
 
 
-def test_context_tree_is_a_distribution_and_equals_a_plain_tree():
-    text = b"abracadabra, abracadabra!" * 3
-    a = b"\0\0" + text
-    count = collections.Counter(zip(a, a[1:], a[2:]))
-    codes = np.array([x << 16 | y << 8 | z for x, y, z in count])
-    rows, table = lm_scoring.context_tree(codes, np.array(list(count.values()), dtype=float))
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+@pytest.mark.parametrize("depth", [2, 4, 6])
+def test_scores_equal_a_plain_context_tree(spark, depth):
+    texts = [(1, "abracadabra, abracadabra! " * 3, True), (2, "abra é cadabra", True), (3, "", True), (4, None, True), (5, "abra\0cadab zzz\U0001f600", False), (5, "abracadabra, abracadabra!", False), (None, "a", False), (7, "x", True)]
+    node = collections.defaultdict(lambda: [0, 0])
+    below = collections.defaultdict(set)
+
+    def decisions(text):
+        a = b"\0" * depth + text.encode()
+        for i in range(depth, len(a)):
+            yield a[i - depth : i], [(1 << d | a[i] >> (8 - d), a[i] >> (7 - d) & 1) for d in range(8)]
+
+    for _, text, train in texts:
+        for ctx, bits in decisions(text if train and text else ""):
+            for b, bit in bits:
+                for d in range(depth + 1):
+                    node[ctx[depth - d :], b][bit] += 1
+                    if d:
+                        below[ctx[depth - d + 1 :], b].add(ctx[depth - d :])
+
+    @functools.cache
+    def weights(ctx, b):
+        z, o = node.get((ctx, b), (0, 0))
+        e = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+        return (e, e) if len(ctx) == depth else (e, np.logaddexp(e, sum(weights(k, b)[1] for k in below.get((ctx, b), ()))) - math.log(2))
+
+    def plain(text):
+        total = 0.0
+        for ctx, bits in decisions(text):
+            for b, bit in bits:
+                p, left = 0.0, 1.0
+                for d in range(depth + 1):
+                    n = node.get((ctx[depth - d :], b), (0, 0))
+                    e, w = weights(ctx[depth - d :], b)
+                    stop = 1.0 if d == depth else math.exp(e - math.log(2) - w)
+                    p += left * stop * (n[bit] + 0.5) / (sum(n) + 1)
+                    left *= 1 - stop
+                total += math.log10(p)
+        return total
+
+    d = spark.createDataFrame([(i, t, g, "x") for i, t, g in texts], "doc_id long, text string, g boolean, score string")
+    got = lm_scoring.score(d, F.col("g"), ["g"], depth=depth, block_chars=40).collect()
+    assert sorted((str(r.doc_id), r.bytes) for r in got) == sorted((str(i), len((t or "").encode())) for i, t, _ in texts)
+    want = {(i, len((t or "").encode())): plain(t or "") for i, t, _ in texts}
+    for r in got:
+        assert math.isclose(r.score, want[r.doc_id, r.bytes], rel_tol=1e-5, abs_tol=1e-9)
 
-    def bits(byte):
-        return [(1 << d | byte >> (8 - d), byte >> (7 - d) & 1) for d in range(8)]
 
-    node = collections.defaultdict(lambda: [0, 0])
-    for (x, y, z), n in count.items():
-        for b, bit in bits(z):
-            for ctx in ((), (y,), (x, y)):
-                node[ctx, b][bit] += n
+def test_scores_without_training_cost_eight_bits_a_byte(spark):
+    d = spark.createDataFrame([(1, "some text " * 50_000), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(d, F.lit(False)).collect()}
+    assert math.isclose(got[1].score, -500_000 * 8 * math.log10(2), rel_tol=1e-6) and got[2].score == 0 and got[1].n_known == 0
 
-    def log_weight(ctx, b):
-        z, o = node[ctx, b]
-        e = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
-        if len(ctx) == 2:
-            return e, e
-        kids = [k for k in list(node) if k[1] == b and len(k[0]) == len(ctx) + 1 and (not ctx or k[0][-1:] == ctx)]
-        below = sum(log_weight(k[0], b)[1] for k in kids)
-        return e, np.logaddexp(e, below) - math.log(2)
-
-    def predict(x, y, z):
-        p = 1.0
-        for b, bit in bits(z):
-            q, left = 0.0, 1.0
-            for ctx in ((), (y,), (x, y)):
-                zero, one = node[ctx, b]
-                kt = ((zero, one)[bit] + 0.5) / (zero + one + 1)
-                e, w = log_weight(ctx, b)
-                stop = 1.0 if len(ctx) == 2 else math.exp(e - math.log(2) - w)
-                q += left * stop * kt
-                left *= 1 - stop
-            p *= q
-        return math.log10(p)
-
-    for x, y, z in [(97, 98, 114), (97, 98, 97), (114, 97, 99)]:
-        assert math.isclose(table[rows[x << 8 | y], z], predict(x, y, z), rel_tol=1e-4)
+
+def test_tree_climbs_alike_in_pieces():
+    r = np.random.default_rng(1)
+    key = np.sort(r.integers(0, 50, 1000))
+    rows = pa.table({"k": key, "v": np.arange(1000)})
+    cut = list(lm_scoring.whole_groups(iter(rows.to_batches(max_chunksize=7)), 30))
+    assert len(cut) > 5 and np.array_equal(np.concatenate([c[1] for c in cut]), np.arange(1000))
+    assert len(set.union(*(set(c[0]) for c in cut))) == sum(len(set(c[0])) for c in cut)
+    for a in (np.array([5, 3, -1]), np.arange(9), np.zeros(0, dtype=np.int64), np.array([1.5, -2.0], dtype=np.float32)):
+        assert np.array_equal(lm_scoring.unpack(lm_scoring.pack(a), a.dtype), a)
 
 
 def test_codec_equals_the_library():
