@@ -32,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, Workspace, release
+from .common import Workspace, release
 
 #: The end token; no word holds a space.
 END = b" "
@@ -112,10 +113,9 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def grams(texts: list[bytes], depth: int) -> np.ndarray:
     """The gram of every byte of the texts, in order; each text begins after zero bytes."""
     pad = b"\0" * depth
-    a = np.frombuffer(pad + pad.join(texts), dtype=np.uint8).astype(np.int64)
-    code = a[depth:].copy()
-    for i in range(1, depth + 1):
-        code |= a[depth - i : len(a) - i] << 8 * (depth + 1 - i)
+    raw = b"".join([pad, pad.join(texts), b"\0" * (7 - depth)])
+    window = np.ndarray((len(raw) - 7,), dtype="<i8", buffer=raw, strides=(1,))  # the context and the byte after it, in one read
+    code = (window & (1 << 8 * depth) - 1) << 8 | window >> 8 * depth & 255
     ends = np.cumsum([len(t) + depth for t in texts])[:-1]
     keep = np.ones(len(code), dtype=bool)
     keep[(ends[:, None] - depth + np.arange(depth)).ravel()] = False  # the padding itself is not predicted
@@ -239,11 +239,55 @@ def at_root(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.lit(0).alias("grp"), "key", "z", "o", "w").mapInArrow(run, MIXED)
 
 
+class Places:
+    """Finds numbers among distinct ones: a table of places by hash; numbers that others displace are in a further table."""
+
+    def __init__(self, keys: np.ndarray, factor: int = 0x9E3779B97F4A7C15):
+        self.keys, self.factor, self.bits = keys, np.uint64(factor), max(4, (4 * len(keys)).bit_length())
+        own, slot = np.arange(len(keys), dtype=np.int32), self.slots(keys)
+        self.table = np.zeros(1 << self.bits, dtype=np.int32)
+        self.table[slot] = own
+        self.displaced = np.flatnonzero(self.table[slot] != own).astype(np.int32)
+        self.further = Places(keys[self.displaced], factor * factor % 2**64 | 1) if len(self.displaced) else None
+
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        h = x.view(np.uint64) * self.factor
+        return ((h ^ h >> np.uint64(32)) * self.factor >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each x, all of which are among the keys."""
+        at = self.table[self.slots(x)]
+        if self.further:
+            others = np.flatnonzero(self.keys[at] != x)
+            at[others] = self.displaced[self.further.find(x[others])]
+        return at
+
+
 # texts ----------------------------------------------------------------------------
 def _word_hash(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) >> 1
 
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the place of each token of the texts among them, and the number of tokens of each text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, type=pa.string())))
+    starts, found = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+    distinct, at = found.dictionary.to_pylist(), found.indices.to_numpy()
+    # Splitting leaves empty strings at the ends of a text: the first one becomes the end token, the others go.
+    count = np.diff(starts)
+    whole = np.zeros(len(at) + len(texts), dtype=np.int64)
+    last = starts[1:] + np.arange(len(texts))
+    is_last = np.zeros(len(whole), dtype=bool)
+    is_last[last] = True
+    whole[~is_last], whole[last] = at, len(distinct)
+    if "" in distinct:
+        keep = whole != distinct.index("")
+        owner = np.repeat(np.arange(len(texts)), count + 1)
+        whole, count = whole[keep], np.bincount(owner[keep], minlength=len(texts)) - 1
+    hashes = np.fromiter((_word_hash(w.encode()) for w in distinct), dtype=np.int64, count=len(distinct))
+    return np.append(hashes, _word_hash(END)), whole, count + 1
+
+
 def range_of(ctx: np.ndarray, ranges: int) -> np.ndarray:
     """The range of each context of depth - 2 bytes."""
     return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
@@ -288,12 +332,9 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         def flush():
             # The table is written before anything reads it, so a task that runs anew may number its blocks anew.
             block = part << 24 | done
-            count: dict[bytes, int] = {}
-            for t, g in zip(texts, learn):
-                for w in [*t.translate(FOLD).split(), END]:
-                    count[w] = count.get(w, 0) + g
-            w, wn = summed([np.fromiter(map(_word_hash, count), dtype=np.int64, count=len(count))], [np.fromiter(count.values(), dtype=np.int64, count=len(count))])
-            del count
+            w, at, size = tokens(texts)
+            w, wn = summed([w], [np.bincount(at[np.repeat(np.array(learn, dtype=bool), size)], minlength=len(w))])
+            del at
             found, times = [], []
             for trained in (True, False):
                 for piece in pieces([t for t, g in zip(texts, learn) if g == trained and t]):
@@ -424,30 +465,26 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         lp = np.concatenate([unpack(x, np.float32) for x in right.column("b").to_pylist()])
         w = np.concatenate([unpack(x) for x in right.column("c").to_pylist()])
         c = np.concatenate([unpack(x) for x in right.column("d").to_pylist()])
-        (go, wo), texts = (np.argsort(x, kind="stable") for x in (g, w)), left.column("a").to_pylist()
-        g, lp, w, c = g[go], lp[go], w[wo], c[wo]
+        texts, grams_at, words_at = left.column("a").to_pylist(), Places(g), Places(w)
         scores: list[np.ndarray] = []
+        known: list[np.ndarray] = []
+        base: list[np.ndarray] = []
+        toks: list[np.ndarray] = []
         for piece in pieces(texts):
             size = np.array([len(t) for t in piece])
-            own, at = np.unique(grams(piece, depth), return_inverse=True)  # ascending keys are found much faster
-            logs = np.concatenate([[0.0], np.cumsum(lp[np.searchsorted(g, own)][at], dtype=np.float64)]) if size.sum() else np.zeros(1)
+            logs = np.concatenate([[0.0], np.cumsum(lp[grams_at.find(grams(piece, depth))], dtype=np.float64)]) if size.sum() else np.zeros(1)
             ends = np.cumsum(size)
             scores.append(logs[ends] - logs[ends - size])
-        times: dict[bytes, int] = {}
-        toks, known, base = [], [], []
-        for t in texts:
-            words = [*t.translate(FOLD).split(), END]
-            for x in words:
-                if x not in times:
-                    times[x] = int(c[np.searchsorted(w, _word_hash(x))])
-            n = [times[x] for x in words]
-            toks.append(len(n))
-            known.append(sum(x > 0 for x in n))
-            base.append(float(np.log10(np.array(n) + 1.0).sum()) - len(n) * floor)
+            own, at, n = tokens(piece)
+            times, first = c[words_at.find(own)], np.cumsum(n) - n
+            known.append(np.add.reduceat((times > 0).astype(np.int64)[at], first))
+            base.append(np.add.reduceat(np.log10(times + 1.0)[at], first) - n * floor)
+            toks.append(n)
+        known, base, toks = (np.concatenate(x) for x in (known, base, toks))
         cols = {f.name: left.column(f.name) for f in kept}
-        cols |= {"n_tokens": pa.array(toks, type=pa.int64()), "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array([n_train] * len(toks), type=pa.int64()), "base_score": pa.array(base, type=pa.float64())}
+        cols |= {"n_tokens": pa.array(toks, type=pa.int64()), "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array(np.full(len(toks), n_train)), "base_score": pa.array(base, type=pa.float64())}
         out = pa.table(cols | {"score": pa.array(np.concatenate(scores)), "bytes": pa.array([len(t) for t in texts], type=pa.int64())})
-        del g, lp, w, c, times
+        del g, lp, w, c, grams_at, words_at
         release()
         return out
 

@@ -358,6 +358,19 @@ def test_scores_without_training_cost_eight_bits_a_byte(spark):
     assert math.isclose(got[1].score, -500_000 * 8 * math.log10(2), rel_tol=1e-6) and got[2].score == 0 and got[1].n_known == 0
 
 
+def test_lm_tokens_and_places():
+    texts = [b"", b" ", b"A b\tA\x0bc\x1cd \r\n", "\u00c4 \u00e4\u00a0x\u2003y ".encode(), b"  a\x00b B", b"a" * 5000 + b" a"]
+    hashes, at, n = lm_scoring.tokens(texts)
+    fold = [bytes(c + 32 if 65 <= c <= 90 else c for c in t) for t in texts]
+    want = [lm_scoring._word_hash(w) for t in fold for w in [*re.findall(rb"[^\x20\x09-\x0D]+", t), lm_scoring.END]]
+    assert hashes[at].tolist() == want and n.tolist() == [len(re.findall(rb"[^\x20\x09-\x0D]+", t)) + 1 for t in texts]
+    rng = np.random.default_rng(5)
+    for keys in (np.unique(rng.integers(0, 2**56, 50_000)), np.arange(3000) << 40, np.array([7]), np.zeros(0, dtype=np.int64)):
+        keys = rng.permutation(keys)
+        order = rng.integers(0, max(1, len(keys)), 4 * len(keys))
+        assert np.array_equal(lm_scoring.Places(keys).find(keys[order]), order)
+
+
 def test_tree_climbs_alike_in_pieces():
     r = np.random.default_rng(1)
     key = np.sort(r.integers(0, 50, 1000))
