@@ -293,6 +293,14 @@ def range_of(ctx: np.ndarray, ranges: int) -> np.ndarray:
     return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
 
 
+def rows_blob(table: pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream: texts compress far better together than one by one."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
     """Runs of texts of about PIECE bytes; a longer text is a run of its own."""
     run, size = [], 0
@@ -344,9 +352,9 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
             g, gn = summed(found, times)
             del found, times
             table = pa.Table.from_batches(cols).combine_chunks()
-            out = [pa.array([block] * len(texts), type=pa.int64()), pa.nulls(len(texts), pa.int32()), pa.array(texts, type=pa.binary()), *[pa.nulls(len(texts), pa.binary())] * 3]
+            table = table.append_column("_text", pa.array(texts, type=pa.binary()))
             for lo in range(0, len(texts), 4096):
-                yield pa.RecordBatch.from_arrays([*(x.slice(lo, 4096) for x in out), *(c.combine_chunks().slice(lo, 4096) for c in table.columns)], names=schema_names)
+                yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int64()), pa.nulls(1, pa.int32()), pa.array([rows_blob(table.slice(lo, 4096))], type=pa.binary()), *[pa.nulls(1, pa.binary())] * 3], names=schema_names)
             gr, wr = range_of(g >> 24, ranges), w % ranges
             go, wo = np.argsort(gr, kind="stable"), np.argsort(wr, kind="stable")
             g, gn, w, wn = g[go], gn[go], w[wo], wn[wo]
@@ -354,7 +362,7 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
             for lo in range(0, ranges, 64):
                 r = [k for k in range(lo, min(lo + 64, ranges)) if gc[k] < gc[k + 1] or wc[k] < wc[k + 1]]
                 blobs = [pa.array([pack(x[c[k] : c[k + 1]]) for k in r], type=pa.binary()) for x, c in ((g, gc), (gn, gc), (w, wc), (wn, wc))]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(r), type=pa.int64()), pa.array(r, type=pa.int32()), *blobs, *(pa.nulls(len(r), c.type) for c in table.columns)], names=schema_names)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(r), type=pa.int64()), pa.array(r, type=pa.int32()), *blobs], names=schema_names)
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
@@ -373,9 +381,9 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         texts, cols = [], []
         release()
 
-    schema_names = ["block", "range", "a", "b", "c", "d", *[f.name for f in kept]]
+    schema_names = ["block", "range", "a", "b", "c", "d"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    gathered = ws.save(d.mapInArrow(gather, f"block long, range int, a binary, b binary, c binary, d binary, {fields}"))
+    gathered = ws.save(d.mapInArrow(gather, "block long, range int, a binary, b binary, c binary, d binary"))
     chunks = gathered.where("range IS NOT NULL").select("range", "block", "a", "b", "c", "d")
 
     def add_up(batches: Iterator[pa.RecordBatch]):
@@ -465,7 +473,8 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         lp = np.concatenate([unpack(x, np.float32) for x in right.column("b").to_pylist()])
         w = np.concatenate([unpack(x) for x in right.column("c").to_pylist()])
         c = np.concatenate([unpack(x) for x in right.column("d").to_pylist()])
-        texts, grams_at, words_at = left.column("a").to_pylist(), Places(g), Places(w)
+        left = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in left.column("a").to_pylist())
+        texts, grams_at, words_at = left.column("_text").to_pylist(), Places(g), Places(w)
         scores: list[np.ndarray] = []
         known: list[np.ndarray] = []
         base: list[np.ndarray] = []
@@ -488,6 +497,6 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         release()
         return out
 
-    rows = gathered.where("range IS NULL").select("block", "a", *[f"`{f.name}`" for f in kept])
+    rows = gathered.where("range IS NULL").select("block", "a")
     schema = fields + ", n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long"
     return rows.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(finish, schema)
