@@ -293,6 +293,18 @@ def range_of(ctx: np.ndarray, ranges: int) -> np.ndarray:
     return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
 
 
+def distinct_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of the texts in order, and how often each occurs; sorted in place, the only long array."""
+    g, done = np.empty(sum(map(len, texts)), dtype=np.int64), 0
+    for piece in pieces(texts):
+        some = grams(piece, depth)
+        g[done : done + len(some)] = some
+        done += len(some)
+    g.sort()
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]][: len(g)])
+    return g[first], np.diff(np.append(first, len(g)))
+
+
 def rows_blob(table: pa.Table) -> bytes:
     """Rows as one compressed Arrow stream: texts compress far better together than one by one."""
     sink = pa.BufferOutputStream()
@@ -340,17 +352,18 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         def flush():
             # The table is written before anything reads it, so a task that runs anew may number its blocks anew.
             block = part << 24 | done
-            w, at, size = tokens(texts)
-            w, wn = summed([w], [np.bincount(at[np.repeat(np.array(learn, dtype=bool), size)], minlength=len(w))])
-            del at
-            found, times = [], []
+            found, times, words, word_times = [], [], [], []
             for trained in (True, False):
-                for piece in pieces([t for t, g in zip(texts, learn) if g == trained and t]):
-                    k, n = np.unique(grams(piece, depth), return_counts=True)
-                    found.append(k)
-                    times.append(n * trained)
-            g, gn = summed(found, times)
-            del found, times
+                some = [t for t, g in zip(texts, learn) if g == trained]
+                for piece in pieces(some):
+                    own, at, _ = tokens(piece)
+                    words.append(own)
+                    word_times.append(np.bincount(at, minlength=len(own)) * trained)
+                k, n = distinct_grams([t for t in some if t], depth)
+                found.append(k)
+                times.append(n * trained)
+            (w, wn), (g, gn) = summed(words, word_times), summed(found, times)
+            del found, times, words, word_times, some
             table = pa.Table.from_batches(cols).combine_chunks()
             table = table.append_column("_text", pa.array(texts, type=pa.binary()))
             for lo in range(0, len(texts), 4096):
