@@ -3,17 +3,17 @@
 Each pass hashes a vector by the signs of random projections; the bits, taken as
 one number, order the vectors of a label lexicographically, and each vector is
 compared with the next ``window`` ones. Range partitions keep the order; the
-rows at their ends travel to the neighbouring range, so no window is cut. Pairs
-of at least ``threshold`` are united across passes. Vectors are hashed from the
-centre of their label, so a direction that a label has in common orders nothing.
+rows at their ends travel to the ranges before that their windows begin in, so no window is
+cut, however short a range. Pairs of at least ``threshold`` are united across passes. Vectors
+are hashed from the centre of their label, so a direction that a label has in common orders nothing.
 
 Where ``passes`` is not given, their number first follows the number of vectors, as
 if directions were spread evenly. Labels can be denser than that, so recall is then
-measured: all links of ``queries`` vectors (the first ones by a hash of vector and
-round) are found by brute force. While more than 1 - ``recall`` of them are outside
-components, further passes with windows twice as wide follow and other vectors are
-asked; windows that would span a quarter of the vectors give way to brute force
-over all. Links that brute force has found are united too.
+measured, by one rule for inputs of any size: all links of ``queries`` vectors (the first ones
+by a hash of vector and round) are counted by brute force. While more than 1 - ``recall`` of
+them are outside components, further passes with windows twice as wide follow and other
+vectors are asked; windows that span all vectors end this. Brute force only measures: every
+link that unites comes from a window of a pass.
 
 Equal vectors of a label are one representative first, so copies neither fill
 windows nor make pairs. Tasks send on only pairs that unite something new.
@@ -69,9 +69,9 @@ def window_pairs(rep: np.ndarray, u: np.ndarray, window: int, threshold: float,
     """Pairs of at least the threshold up to ``window`` rows apart; those whose later row is at ``fresh`` or after."""
     a, b = [], []
     for k in range(1, min(window, len(rep) - 1) + 1):
-        cos = np.einsum("ij,ij->i", u[:-k], u[k:])
-        hit = np.flatnonzero(cos >= threshold)
-        hit = hit[hit + k >= fresh]
+        lo = max(0, fresh - k)
+        cos = np.einsum("ij,ij->i", u[lo:-k], u[lo + k :])
+        hit = lo + np.flatnonzero(cos >= threshold)
         a.append(rep[hit])
         b.append(rep[hit + k])
     return a, b
@@ -127,28 +127,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int | N
     centres = ws.save(parts.join(large, ["label", "dim"], "left_semi").groupBy("label", "dim").applyInPandas(centre, f"label {label_type}, dim int, c array<double>"))
     placed = reps.select("rep", "label", "v", "dim").join(F.broadcast(centres) if centres.count() <= BROADCAST_LABELS else centres, ["label", "dim"], "left")
 
-    def links_of(asked: DataFrame) -> DataFrame:
-        """Links of the vectors of asked (few) with all others; of each batch only those that unite something new."""
-        got = asked.select("rep", "label", "dim", "v").toPandas()
-        known = {k: (q["rep"].to_numpy(), unit(q["v"])) for k, q in got.groupby(["label", "dim"])}
+    def recall_of(asked: DataFrame, comp: DataFrame) -> tuple[int, int]:
+        """How many links the vectors of asked (few) have with all others, by brute force, and how many of them components miss."""
+        own = F.coalesce("comp", "rep").alias("own")
+        got = asked.select("rep", "label", "dim", "v").join(comp.toDF("rep", "comp"), "rep", "left").select("rep", "label", "dim", "v", own).toPandas()
+        known = {k: (q["rep"].to_numpy(), q["own"].to_numpy(), unit(q["v"])) for k, q in got.groupby(["label", "dim"])}
 
         def run(batches):
             for pdf in batches:
-                out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
                 for k, part in pdf.groupby(["label", "dim"]):
                     if k not in known:
                         continue
-                    q, u = known[k]
+                    q, of, u = known[k]
                     rep, v = part["rep"].to_numpy(), unit(part["v"])
                     for lo in range(0, len(rep), 1024):
                         i, j = np.nonzero(v[lo : lo + 1024] @ u.T >= threshold)
-                        a, b = forest(q[j], rep[lo + i])
-                        out_a.append(a)
-                        out_b.append(b)
-                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                        links = pd.DataFrame({"rep": rep[lo + i], "of": of[j]})[rep[lo + i] != q[j]]
+                        yield links.groupby(["rep", "of"]).size().reset_index(name="n")
 
-        return ws.save(reps.select("rep", "label", "dim", "v").mapInPandas(run, "a long, b long"))
+        links = reps.select("rep", "label", "dim", "v").mapInPandas(run, "rep long, of long, n long")
+        return tuple(links.join(comp.toDF("rep", "comp"), "rep", "left").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.coalesce("comp", "rep") != F.col("of"), F.col("n"))), F.lit(0))).first())
 
     edge_tables = []
 
@@ -202,18 +200,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int | N
             if out_a:
                 yield pairs(out_a, out_b)
             if held is not None:
-                # The ends: this range's first rows meet the last rows of the range before.
-                yield ends(start, part - 1, 1)
+                # The ends: a range's last rows meet the first rows of the ranges after it.
+                yield ends(start, part, 1)
                 yield ends(held, part, 0)
 
         def pairs(a, b):
             a, b = forest(np.concatenate(a), np.concatenate(b))
-            return pd.DataFrame({"a": a, "b": b, "cut": None, "side": None, "pass": None, "label": None, "dim": None, "key": None, "v": None})
+            return pd.DataFrame({"a": a, "b": b, "part": None, "side": None, "at": None, "pass": None, "label": None, "dim": None, "key": None, "v": None})
 
-        def ends(rows_, cut, side):
-            return pd.DataFrame({"a": rows_["rep"], "b": None, "cut": cut, "side": side, "pass": rows_["pass"], "label": rows_["label"], "dim": rows_["dim"], "key": rows_["key"], "v": rows_["v"]})
+        def ends(rows_, part, side):
+            return pd.DataFrame({"a": rows_["rep"], "b": None, "part": part, "side": side, "at": np.arange(len(rows_)), "pass": rows_["pass"], "label": rows_["label"], "dim": rows_["dim"], "key": rows_["key"], "v": rows_["v"]})
 
-        found = ws.save(ordered.mapInPandas(windows, f"a long, b long, cut int, side int, pass int, label {label_type}, dim int, key long, v array<double>"))
+        found = ws.save(ordered.mapInPandas(windows, f"a long, b long, part int, side int, at int, pass int, label {label_type}, dim int, key long, v array<double>"))
 
         def across(pdf):
             pdf = pdf.sort_values(["pass", "label", "dim", "key", "a"], kind="stable")
@@ -226,9 +224,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int | N
             a, b = forest(np.concatenate(out_a or none), np.concatenate(out_b or none))
             return pd.DataFrame({"a": a, "b": b})
 
-        # At most 2 x window rows for each boundary.
-        crossing = found.where("cut IS NOT NULL").groupBy("cut").applyInPandas(across, "a long, b long")
-        edges = ws.save(found.where("cut IS NULL").select("a", "b").union(crossing).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        # A range's end meets the next ``window`` rows, of as many ranges as these span: 2 x window rows at most.
+        size = {r["part"]: r["n"] for r in found.where("side = 0").groupBy("part").agg(F.count("*").alias("n")).collect()}
+        spans, filled = [], sorted(size)
+        for i, cut in enumerate(filled):
+            before = 0
+            for part in filled[i + 1 :]:
+                if before >= window:
+                    break
+                spans.append((part, cut, before))
+                before += size[part]
+        tails = found.where("side = 0").withColumn("cut", F.col("part"))
+        heads = found.where("side = 1").join(F.broadcast(spark.createDataFrame(spans, "part int, cut int, before int")), "part").where(F.col("before") + F.col("at") < window)
+        crossing = tails.unionByName(heads.drop("before")).groupBy("cut").applyInPandas(across, "a long, b long")
+        edges = ws.save(found.where("part IS NULL").select("a", "b").union(crossing).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ws.drop(found)
         return edges
 
@@ -240,20 +249,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int | N
     turn, width = 0, window
     while measured:
         asked = reps.withColumn("o", F.xxhash64("rep", F.lit(turn))).orderBy("o").limit(queries)
-        edge_tables.append(links_of(asked))
-        at = edge_tables[-1].join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-        total, missed = at.agg(F.count("*"), F.count_if(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True)))).first()
-        if not missed:
-            break
-        if n_reps <= queries or missed <= (1 - recall) * total:
-            comp = united()
+        total, missed = recall_of(asked, comp)
+        if missed <= (1 - recall) * total or width >= n_reps:
             break
         turn, width = turn + 1, 2 * width
-        if 4 * width >= n_reps:
-            blocks = -(-n_reps // queries)
-            edge_tables += [links_of(reps.where(F.pmod(F.xxhash64("rep"), F.lit(blocks)) == k)) for k in range(blocks)]
-            comp = united()
-            break
         one_round(passes, passes + passes_at_once, width)
         passes += passes_at_once
         comp = united()

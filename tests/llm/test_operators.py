@@ -679,3 +679,26 @@ def test_embeddings_of_a_dense_label(spark):
     assert len(a) > 300
     comp = {x.vec_id: x.component_id for x in embedding_dedup.near_duplicates(d).collect()}
     assert np.mean([comp[i] == comp[j] for i, j in zip(a.tolist(), b.tolist())]) >= 0.99
+
+
+def test_brute_force_only_measures(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "passes_for", lambda *_: 1)
+    r = np.random.default_rng(5)
+    base = np.repeat(r.standard_normal((300, 16)), 2, axis=0)
+    v = base + 0.09 * r.standard_normal(base.shape)
+    d = spark.createDataFrame([(i, [float(y) for y in x], 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    comps = lambda **k: {x.vec_id: x.component_id for x in embedding_dedup.near_duplicates(d, window=1, **k).collect()}
+    one_pass = comps(passes=1)
+    assert len(set(one_pass.values())) > 300  # it misses pairs
+    assert comps(recall=0.0) == one_pass  # all vectors are asked, but the passes alone decide
+
+
+def test_windows_span_short_ranges(spark):
+    r = np.random.default_rng(6)
+    v = r.standard_normal((60, 4))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    want = near.sum(axis=1) - 1
+    d = spark.createDataFrame([(i, [float(y) for y in x], 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(d, passes=1, window=60).collect()}
+    assert [got[i] for i in range(60)] == want.tolist()
