@@ -16,8 +16,9 @@ Ranges stream the chunks of all blocks, so a range holds its distinct grams and
 words, never the chunks together. The tree is then climbed two levels at a time:
 nodes that share all but the last two bytes of their context meet in one task,
 at most 2 ** 24 nodes whatever the corpus. Weights come down the same way, ranges
-turn them into the log probability of each gram, and send each block its own
-grams' and words' values, from which the block's texts are scored.
+turn them into the log probability of each gram, and send each block the values of
+its own grams and words, without these: the block finds them in its texts again, in
+the order in which it dealt them, and scores the texts.
 
 Defined cases: null text counts as empty: one end token, byte score 0; training
 documents may be none (all counts are 0, each byte costs 8 bits); ids may repeat
@@ -293,6 +294,12 @@ def range_of(ctx: np.ndarray, ranges: int) -> np.ndarray:
     return ((ctx.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)) % np.uint64(ranges)).astype(np.int64)
 
 
+def deal(g: np.ndarray, w: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges of ascending grams and words, and the orders by range; within a range they still ascend."""
+    gr, wr = range_of(g >> 24, ranges), w % ranges
+    return gr, wr, np.argsort(gr, kind="stable"), np.argsort(wr, kind="stable")
+
+
 def distinct_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of the texts in order, and how often each occurs; sorted in place, the only long array."""
     g, done = np.empty(sum(map(len, texts)), dtype=np.int64), 0
@@ -308,7 +315,7 @@ def distinct_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
 def rows_blob(table: pa.Table) -> bytes:
     """Rows as one compressed Arrow stream: texts compress far better together than one by one."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -368,8 +375,7 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
             table = table.append_column("_text", pa.array(texts, type=pa.binary()))
             for lo in range(0, len(texts), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array([block], type=pa.int64()), pa.nulls(1, pa.int32()), pa.array([rows_blob(table.slice(lo, 4096))], type=pa.binary()), *[pa.nulls(1, pa.binary())] * 3], names=schema_names)
-            gr, wr = range_of(g >> 24, ranges), w % ranges
-            go, wo = np.argsort(gr, kind="stable"), np.argsort(wr, kind="stable")
+            gr, wr, go, wo = deal(g, w, ranges)
             g, gn, w, wn = g[go], gn[go], w[wo], wn[wo]
             gc, wc = np.searchsorted(gr[go], np.arange(ranges + 1)), np.searchsorted(wr[wo], np.arange(ranges + 1))
             for lo in range(0, ranges, 64):
@@ -471,34 +477,38 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
                 else:
                     for block, a, c in zip(run.column(2).to_pylist(), run.column(3).to_pylist(), run.column(5).to_pylist()):
                         lp, times = logs[np.searchsorted(g, unpack(a))], wn[np.searchsorted(w, unpack(c))]
-                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at[lo]], type=pa.int32()), *(pa.array([x], type=pa.binary()) for x in (a, pack(lp), c, pack(times)))], names=["block", "range", "a", "b", "c", "d"])
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at[lo]], type=pa.int32()), *(pa.array([pack(x)], type=pa.binary()) for x in (lp, times))], names=["block", "range", "b", "d"])
         release()
 
     none = F.lit(None)
     stream = top.mapInArrow(with_range, "range int, " + MIXED).select("range", F.lit(0).alias("kind"), none.cast("long").alias("block"), *[none.cast("binary").alias(x) for x in "abcd"], "key", "acc", "rest")
     for k, t in enumerate((total.select("*", none.cast("long").alias("block")), chunks.select("range", "block", "a", none.cast("binary").alias("b"), "c", none.cast("binary").alias("d"))), 1):
         stream = stream.union(t.select("range", F.lit(k), "block", "a", "b", "c", "d", none.cast("long"), none.cast("double"), none.cast("double")))
-    valued = stream.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(values, "block long, range int, a binary, b binary, c binary, d binary")
+    valued = stream.repartition("range").sortWithinPartitions("range", "kind").mapInArrow(values, "block long, range int, b binary, d binary")
     floor = math.log10(n_train + v_train + 1)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = np.concatenate([unpack(x) for x in right.column("a").to_pylist()])
-        lp = np.concatenate([unpack(x, np.float32) for x in right.column("b").to_pylist()])
-        w = np.concatenate([unpack(x) for x in right.column("c").to_pylist()])
-        c = np.concatenate([unpack(x) for x in right.column("d").to_pylist()])
         left = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in left.column("a").to_pylist())
-        texts, grams_at, words_at = left.column("_text").to_pylist(), Places(g), Places(w)
+        texts = left.column("_text").to_pylist()
+        found = [(own, at.astype(np.int32), n) for own, at, n in map(tokens, pieces(texts))]
+        g, w = distinct_grams([t for t in texts if t], depth)[0], np.unique(np.concatenate([own for own, _, _ in found]))
+        lp, c = np.empty(len(g), dtype=np.float32), np.empty(len(w), dtype=np.int64)
+        right = right.sort_by("range")
+        _, _, go, wo = deal(g, w, ranges)
+        lp[go] = np.concatenate([unpack(x, np.float32) for x in right.column("b").to_pylist()])
+        c[wo] = np.concatenate([unpack(x) for x in right.column("d").to_pylist()])
+        del right, go, wo
+        grams_at = Places(g)
         scores: list[np.ndarray] = []
         known: list[np.ndarray] = []
         base: list[np.ndarray] = []
         toks: list[np.ndarray] = []
-        for piece in pieces(texts):
+        for piece, (own, at, n) in zip(pieces(texts), found):
             size = np.array([len(t) for t in piece])
             logs = np.concatenate([[0.0], np.cumsum(lp[grams_at.find(grams(piece, depth))], dtype=np.float64)]) if size.sum() else np.zeros(1)
             ends = np.cumsum(size)
             scores.append(logs[ends] - logs[ends - size])
-            own, at, n = tokens(piece)
-            times, first = c[words_at.find(own)], np.cumsum(n) - n
+            times, first = c[np.searchsorted(w, own)], np.cumsum(n) - n
             known.append(np.add.reduceat((times > 0).astype(np.int64)[at], first))
             base.append(np.add.reduceat(np.log10(times + 1.0)[at], first) - n * floor)
             toks.append(n)
@@ -506,7 +516,7 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
         cols = {f.name: left.column(f.name) for f in kept}
         cols |= {"n_tokens": pa.array(toks, type=pa.int64()), "n_known": pa.array(known, type=pa.int64()), "train_tokens": pa.array(np.full(len(toks), n_train)), "base_score": pa.array(base, type=pa.float64())}
         out = pa.table(cols | {"score": pa.array(np.concatenate(scores)), "bytes": pa.array([len(t) for t in texts], type=pa.int64())})
-        del g, lp, w, c, grams_at, words_at
+        del g, lp, w, c, grams_at, found
         release()
         return out
 
