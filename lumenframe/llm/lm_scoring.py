@@ -312,6 +312,16 @@ def distinct_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarr
     return g[first], np.diff(np.append(first, len(g)))
 
 
+def grams_of(texts: list[bytes], depth: int) -> np.ndarray:
+    """Distinct grams of the texts in order; holds only the distinct ones of each piece."""
+
+    def once(g: np.ndarray) -> np.ndarray:
+        g.sort()
+        return g[np.r_[True, g[1:] != g[:-1]][: len(g)]]
+
+    return once(np.concatenate([np.zeros(0, dtype=np.int64), *(once(grams(piece, depth)) for piece in pieces(texts))]))
+
+
 def rows_blob(table: pa.Table) -> bytes:
     """Rows as one compressed Arrow stream: texts compress far better together than one by one."""
     sink = pa.BufferOutputStream()
@@ -489,9 +499,9 @@ def score(docs: DataFrame, in_training: Column, extra: list[str] | None = None,
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         left = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in left.column("a").to_pylist())
-        texts = left.column("_text").to_pylist()
+        texts, left = left.column("_text").to_pylist(), left.drop_columns("_text")
         found = [(own, at.astype(np.int32), n) for own, at, n in map(tokens, pieces(texts))]
-        g, w = distinct_grams([t for t in texts if t], depth)[0], np.unique(np.concatenate([own for own, _, _ in found]))
+        g, w = grams_of([t for t in texts if t], depth), np.unique(np.concatenate([own for own, _, _ in found]))
         lp, c = np.empty(len(g), dtype=np.float32), np.empty(len(w), dtype=np.int64)
         right = right.sort_by("range")
         _, _, go, wo = deal(g, w, ranges)
