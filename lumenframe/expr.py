@@ -296,12 +296,18 @@ class Expr:
     def any(self): return self._agg(lambda env, c: F.bool_or(c), "any")
     def has_nulls(self): return self._agg(lambda env, c: F.bool_or(c.isNull()), "has_nulls")
     def dot(self, o): return self.mul(o).sum()
-    def max_by(self, by): return self._by(by, F.max_by, "max_by")
-    def min_by(self, by): return self._by(by, F.min_by, "min_by")
+    def max_by(self, by): return self._by(by, F.max_by, "max_by", Column.isNotNull)
+    def min_by(self, by): return self._by(by, F.min_by, "min_by", Column.isNull)
 
-    def _by(self, by, fn, name):
+    def _by(self, by, fn, name, odd):
+        """Of rows that tie on ``by``, min_by takes the least value and max_by the greatest, so a result does not hang on how rows are spread. Maps have no order."""
         b = wrap(by)
-        return self._agg(lambda env, c: fn(c, b.build(env)), name)
+
+        def build(env: Env, c: Column) -> Column:
+            k = b.build(env)
+            return fn(c, k if "map<" in env.type_of(c) else F.when(k.isNotNull(), F.struct(k, odd(c), c)))
+
+        return self._agg(build, name)
 
     def first(self): return self._agg(lambda env, c: F.min_by(F.struct(c.alias("v")), F.struct(*_order_keys(env)))["v"], "first")
     def last(self): return self._agg(lambda env, c: F.max_by(F.struct(c.alias("v")), F.struct(*_order_keys(env)))["v"], "last")

@@ -248,3 +248,12 @@ def test_csv_without_line_breaks_in_fields(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n1,"x, y"\n2,z\n')
     for quoted in (True, False):
         assert [tuple(r) for r in io.scan_csv(spark, str(tmp_path / "x.csv"), quoted_newlines=quoted).to_spark().collect()] == [(1, "x, y"), (2, "z")]
+
+
+@pytest.mark.parametrize("ids", [[4, 5, 6, 7, 8, 9], [9, 8, 7, 6, 5, 4]])
+def test_min_by_and_max_by_of_ties_do_not_hang_on_the_order_of_rows(spark, ids):
+    key = {4: None, 5: 1.0, 6: 1.0, 7: 2.0, 8: 3.0, 9: 3.0}
+    f = Frame(spark.createDataFrame([(i, key[i]) for i in ids], "i int, v double").coalesce(1))
+    assert f.select(col("i").min_by(col("v")).alias("a"), col("i").max_by(col("v")).alias("b")).rows() == [(5, 9)]
+    none = f.filter(col("i") == 4)
+    assert none.select(col("i").min_by(col("v")).alias("a"), col("i").max_by(col("v")).alias("b")).rows() == [(None, None)]
