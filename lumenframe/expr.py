@@ -28,10 +28,25 @@ class Env:
         self.types = dict(df.dtypes)
         self.parts: list[Column] = []
         self.scalars: dict[str, Column] = {}
+        self.made: dict[str, Column] = {}
+
+    def frame(self) -> DataFrame:
+        """The frame with aggregates joined as one broadcast row, then helper columns."""
+        df = self.df
+        if self.scalars:
+            df = df.crossJoin(F.broadcast(df.agg(*[c.alias(k) for k, c in self.scalars.items()])))
+        for k, c in self.made.items():
+            df = df.withColumn(k, c)
+        return df
 
     def type_of(self, c: Column) -> str:
-        df = self.df.crossJoin(self.df.agg(*[x.alias(k) for k, x in self.scalars.items()])) if self.scalars else self.df
-        return df.select(c.alias("c")).dtypes[0][1]  # analysed only, never run
+        return self.frame().select(c.alias("c")).dtypes[0][1]  # analysed only, never run
+
+    def ahead(self, c: Column) -> Column:
+        """The next value after this row that is not null. ``first`` over the rows that follow would scan them all again for each row."""
+        key = f"__m{len(self.made)}"
+        self.made[key] = c
+        return F.expr(f"lead({key}) IGNORE NULLS").over(self.window())
 
     def is_float(self, e: Expr, c: Column) -> bool:
         t = self.types.get(e.root) if e.root else None
@@ -219,7 +234,7 @@ class Expr:
     def diff(self, n=1): return self._win(lambda env, c: c - F.lag(c, max(n, 1)).over(env.window()))
     def pct_change(self, n=1): return self._win(lambda env, c: F.try_divide(c - F.lag(c, n).over(env.window()), F.lag(c, n).over(env.window())))
     def forward_fill(self): return self._win(lambda env, c: F.last(c, ignorenulls=True).over(env.running()))
-    def backward_fill(self): return self._win(lambda env, c: F.first(c, ignorenulls=True).over(env.window().rowsBetween(0, Window.unboundedFollowing)))
+    def backward_fill(self): return self._win(lambda env, c: F.coalesce(c, env.ahead(c)))
     def reverse(self): return self._win(lambda env, c: F.element_at(F.collect_list(F.struct(c.alias("v"))).over(env.whole()), -F.row_number().over(env.window()))["v"])
     def row_number(self): return self._win(lambda env, c: F.row_number().over(env.window()).cast("long"))
 
@@ -408,7 +423,7 @@ class Expr:
 
         def build(env: Env, c: Column) -> Column:
             x, known = b.build(env).cast("double"), F.when(c.isNotNull(), F.struct(b.build(env).cast("double").alias("x"), c.cast("double").alias("y")))
-            lo, hi = F.last(known, ignorenulls=True).over(env.running()), F.first(known, ignorenulls=True).over(env.window().rowsBetween(0, Window.unboundedFollowing))
+            lo, hi = F.last(known, ignorenulls=True).over(env.running()), env.ahead(known)
             return F.when(c.isNotNull(), c.cast("double")).otherwise(lo["y"] + (hi["y"] - lo["y"]) * (x - lo["x"]) / (hi["x"] - lo["x"]))
 
         return self._win(build)

@@ -86,15 +86,12 @@ class Frame:
         return env
 
     def _compile(self, exprs: Iterable[E.Expr]) -> tuple[DataFrame, list[Column], bool]:
-        """(frame with broadcast scalars joined, columns, whether all are aggregates)."""
+        """(frame that the columns need, columns, whether all are aggregates)."""
         es = [x for e in exprs for x in E.expand(e if isinstance(e, E.Expr) else E.col(e), self.columns)]
         pure = bool(es) and all(e.kind == "agg" for e in es)
         env = self._env("agg" if pure else "row")
         out = [e.build(env).alias(e.name) for e in es]
-        df = self.df
-        if env.scalars:
-            df = df.crossJoin(F.broadcast(self.df.agg(*[c.alias(k) for k, c in env.scalars.items()])))  # one row
-        return df, out, pure
+        return env.frame(), out, pure
 
     # projection ---------------------------------------------------------------
     def select(self, *exprs) -> Frame:
@@ -109,10 +106,7 @@ class Frame:
         es = [x for e in exprs for x in E.expand(e, self.columns)]
         env = self._env()
         new = {e.name: e.build(env) for e in es}
-        df = self.df
-        if env.scalars:
-            df = df.crossJoin(F.broadcast(self.df.agg(*[c.alias(k) for k, c in env.scalars.items()])))  # one row
-        return self._new(df.withColumns(new).drop(*env.scalars))
+        return self._new(env.frame().withColumns(new).drop(*env.scalars, *env.made))
 
     with_columns_seq = with_columns
 
@@ -176,7 +170,7 @@ class Frame:
         base = len(self.order) + sum(c.startswith(HIDDEN) for c in self.df.columns)
         new = {f"{HIDDEN}{base + i}": (k.build(env) if isinstance(k, E.Expr) else _c(k)) for i, k in enumerate(keys)}
         order = [(n, d, nulls_last) for n, d in zip(new, desc)] + self.order
-        out = self._new(self.df.withColumns(new), order)
+        out = self._new(env.frame().withColumns(new).drop(*env.scalars, *env.made), order)
         return out
 
     def sorted_spark(self) -> DataFrame:

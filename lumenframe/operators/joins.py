@@ -57,9 +57,10 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: lis
     w = Window.partitionBy(*keys, "__p") if cuts else Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     if cuts:
         both = both.withColumn("__p", place(F.col("__k"), cuts))
-    found = F.when(F.col("__r").isNotNull(), F.struct("__k", "__r"))
-    back = F.last(found, ignorenulls=True).over(w.orderBy("__k").rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(found, ignorenulls=True).over(w.orderBy("__k").rangeBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("__f", F.when(F.col("__r").isNotNull(), F.struct("__k", "__r")))
+    back = F.last("__f", ignorenulls=True).over(w.orderBy("__k").rangeBetween(Window.unboundedPreceding, 0))
+    # Left rows come before the right row of their key, so the next one is it. A frame of all rows that follow would be scanned for each row.
+    ahead = F.expr("lead(__f) IGNORE NULLS").over(w.orderBy("__k", F.col("__l").isNull()))
     need = {"backward": [("__back", back)], "forward": [("__ahead", ahead)]}.get(strategy, [("__back", back), ("__ahead", ahead)])
     j = both.withColumns(dict(need)).where(F.col("__l").isNotNull())
     if cuts:
@@ -81,4 +82,4 @@ def _outside(r: DataFrame, cuts: list) -> DataFrame:
     ends = r.select(place(F.col("__k"), cuts).alias("__p"), F.struct("__k", "__r").alias("f")).groupBy("__p").agg(F.max_by("f", F.col("f")["__k"]).alias("hi"), F.min_by("f", F.col("f")["__k"]).alias("lo"))
     grid = r.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("__p")).join(ends, "__p", "left")
     w = Window.orderBy("__p")
-    return grid.select("__p", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__back_out"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__ahead_out"))
+    return grid.select("__p", F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__back_out"), F.expr("lead(lo) IGNORE NULLS").over(w).alias("__ahead_out"))

@@ -82,11 +82,11 @@ def interpolate(df: DataFrame, columns: list[str], order: list[Column], partitio
     df = df.withColumn("__x", _c(by).cast("double") if by else F.row_number().over(w).cast("double"))
     for c in columns:
         known = F.when(_c(c).isNotNull(), F.struct(F.col("__x").alias("x"), _c(c).cast("double").alias("y")))
-        df = df.withColumn("__a", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+        df = df.withColumn("__k", known).withColumns({"__a": F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.expr("lead(__k) IGNORE NULLS").over(w)})  # one pass: first over the rows that follow would take the square of them
         a, b = F.col("__a"), F.col("__b")
         line = a["y"] + (b["y"] - a["y"]) * (F.col("__x") - a["x"]) / (b["x"] - a["x"])
         filled = F.when(_c(c).isNotNull(), _c(c).cast("double")).when(a.isNotNull() & b.isNotNull(), line)
-        df = df.withColumn(c, filled if by else filled.otherwise(F.coalesce(a["y"], b["y"]))).drop("__a", "__b")
+        df = df.withColumn(c, filled if by else filled.otherwise(F.coalesce(a["y"], b["y"]))).drop("__k", "__a", "__b")
     return df.drop("__x")
 
 

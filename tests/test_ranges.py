@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe import Frame
+from lumenframe import Frame, col
 from lumenframe.operators import stats
 
 
@@ -67,3 +67,39 @@ def test_asof_null_and_empty(spark, small_ranges):
     assert len(got) == 31 and got[None] is None and got[4] is None and got[5] == got[29] == "x"
     none = Frame(left).join_asof(Frame(right.where("false")), on="t").to_spark()
     assert none.count() == 31 and none.where("v IS NOT NULL").count() == 0
+
+
+def _no_frame_of_all_rows_that_follow(f):
+    assert "currentrow$(), unboundedfollowing$()" not in f.explain("formatted")
+    return f
+
+
+def test_looking_ahead_is_one_pass(spark):
+    values = [None, 3.0, None, None, float("nan"), 5.0, None, 7.0, None]
+    rows = [(n, n % 2, v) for n, v in enumerate(values)]
+    f = Frame(spark.createDataFrame(rows, "n int, g int, v double")).sort("n")
+    ahead = lambda rows: [next((v for v in rows[i:] if v is not None), None) for i in range(len(rows))]
+    v = col("v")
+    got = _no_frame_of_all_rows_that_follow(f.select("n", v.backward_fill().alias("b"), v.shift(1).backward_fill().alias("s"), v.backward_fill().over("g").alias("o"))).to_spark().orderBy("n").collect()
+    assert repr([r["b"] for r in got]) == repr(ahead(values))
+    assert repr([r["s"] for r in got]) == repr(ahead([None, *values[:-1]]))
+    for g in (0, 1):
+        assert repr([r["o"] for r in got if r["n"] % 2 == g]) == repr(ahead(values[g::2]))
+    assert repr(sorted(r["n"] for r in f.sort(v.backward_fill()).to_spark().collect())) == repr(list(range(len(values))))
+    kept = f.with_columns(v.backward_fill().alias("b"))
+    assert kept.columns == ["n", "g", "v", "b"]
+    line = f.filter(col("n") != 4)
+    want = [3.0, 3.0, 11 / 3, 13 / 3, 5.0, 6.0, 7.0, 7.0]  # by row number
+    got = _no_frame_of_all_rows_that_follow(line.interpolate("v")).to_spark().orderBy("n").collect()
+    assert [r["v"] for r in got] == pytest.approx(want)
+    by = _no_frame_of_all_rows_that_follow(line.select("n", v.interpolate_by(col("n")).alias("v"))).to_spark().orderBy("n").collect()
+    assert [r["v"] for r in by] == pytest.approx([None, 3.0, 3.5, 4.0, 5.0, 6.0, 7.0, None], nan_ok=True)
+
+
+@pytest.mark.parametrize("strategy", ["forward", "nearest"])
+def test_asof_ahead_is_one_pass(spark, strategy):
+    left, right = spark.sql("SELECT id AS t FROM range(12)"), spark.sql("SELECT t, 'x' || t AS v FROM VALUES (3L), (3L), (7L) AS r(t)")
+    f = _no_frame_of_all_rows_that_follow(Frame(left).join_asof(Frame(right), on="t", strategy=strategy))
+    got = {r["t"]: r["v"] for r in f.to_spark().collect()}
+    split = 3 if strategy == "forward" else 5
+    assert got == {t: "x3" if t <= split else "x7" if t <= 7 or strategy == "nearest" else None for t in range(12)}
