@@ -288,7 +288,7 @@ class Frame:
     def cum_sum_all(self, column: str, output: str) -> Frame: return (lambda f: f._new(stats.prefix(f.df, f.order, f._keys(), _c(column), output)))(self.with_order())
 
     def qcut(self, column: str, quantiles: list[float], output: str) -> Frame:
-        breaks = self.df.agg(F.percentile(_c(column), quantiles)).first()[0]
+        breaks = stats.at_shares(self.df, {column: _c(column)}, quantiles).first()[0]
         return self.with_columns(E.col(column).cut(sorted(set(breaks))).alias(output))
 
     def partition_by(self, *keys: str) -> dict[tuple, Frame]:

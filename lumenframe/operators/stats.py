@@ -22,28 +22,82 @@ def clean(df: DataFrame, c: str) -> Column:
 
 
 REDUCERS = {
-    "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "var": F.var_samp,
+    "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp,
     "std_pop": F.stddev_pop, "var_pop": F.var_pop, "count": F.count, "product": lambda c: F.product(c.cast("double")),
 }
 
 
 def reduce(df: DataFrame, how: str, columns: list[str], skip_nan: bool = True) -> DataFrame:
+    if how == "median":
+        return at_shares(df, {c: clean(df, c) if skip_nan else _c(c) for c in columns}, [0.5]).select(*[_c(c)[0].alias(c) for c in columns])
     return df.agg(*[REDUCERS[how](clean(df, c) if skip_nan else _c(c)).alias(c) for c in columns])
 
 
+#: Accuracy of the sketch that quantiles start from, and how far to either side of a share its cuts lie: beyond the sketch's error of 1 / SKETCH.
+SKETCH, MARGIN = 2000, 0.0015
+
+
+def at_shares(df: DataFrame, columns: dict[str, Column], shares: list[float], nearest: bool = False) -> DataFrame:
+    """One row: for each column an array of its exact values at the shares, linear or of nearest rank; null for no values.
+
+    No task holds all distinct values. Cuts from a sketch lie close around each share; rows of
+    each cell between cuts are counted, then only cells that hold a wanted rank are grouped by
+    value. The cuts decide how much that is, never the result.
+    """
+    kinds = dict(df.select(*[c.alias(n) for n, c in columns.items()]).dtypes)
+    if nearest and len(set(kinds.values())) > 1:  # values keep their types: one type at a time
+        row, *others = [at_shares(df, {n: columns[n] for n in columns if kinds[n] == k}, shares, nearest) for k in dict.fromkeys(kinds.values())]
+        for o in others:
+            row = row.crossJoin(o)
+        return row.select(*[_c(n) for n in columns])
+    many, ends = range(len(columns)), sorted({min(max(q + d, 0.0), 1.0) for q in shares for d in (-MARGIN, MARGIN)})
+    values = df.select(*[(c if nearest else c.cast("double")).alias(f"__v{i}") for i, c in enumerate(columns.values())])
+    sketch = values.agg(*[F.percentile_approx(f"__v{i}", ends, SKETCH).alias(f"__s{i}") for i in many])
+
+    def cell(i: int) -> Column:
+        """Rises with the value; values equal to a cut have a cell of their own."""
+        v, s = F.col(f"__v{i}"), F.col(f"__s{i}")
+        return sum(((s[k] < v).cast("int") + (s[k] <= v).cast("int") for k in range(len(ends))), F.lit(0))
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), cell(i).alias("b"), F.col(f"__v{i}").alias("v")) for i in many])
+    rows = values.crossJoin(F.broadcast(sketch)).select(F.inline(cells)).where("v IS NOT NULL")
+    counts = rows.groupBy("i", "b").agg(F.count(F.lit(1)).alias("n"))  # at most 2 * len(ends) + 1 rows a column
+    w = Window.partitionBy("i")
+    counts = counts.select("i", "b", "n", (F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(w).alias("all"))
+
+    def positions(n: Column) -> list[Column]:
+        return [F.greatest(F.ceil(F.lit(q) * n) - 1, F.lit(0)).cast("double") if nearest else F.lit(q) * (n - 1) for q in shares]
+
+    ranks = F.array(*[f(p).cast("long") for p in positions(F.col("all")) for f in (F.floor, F.ceil)])
+    wanted = counts.where(F.exists(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))).drop("n")
+    held = rows.join(F.broadcast(wanted), ["i", "b"]).groupBy("i", "b", "before", "all", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.select("i", "v", "n", "all", ranks.alias("r"), upto.alias("upto"))
+    at = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("r")[j] < F.col("upto")) & (F.col("r")[j] >= F.col("upto") - F.col("n")), F.col("v")))
+    found = held.agg(*[F.array(*[at(i, j) for j in range(2 * len(shares))]).alias(f"__f{i}") for i in many], *[F.max(F.when(F.col("i") == i, F.col("all"))).alias(f"__n{i}") for i in many])
+
+    def value(i: int, j: int, p: Column) -> Column:
+        lo, hi = F.col(f"__f{i}")[2 * j], F.col(f"__f{i}")[2 * j + 1]
+        return lo if nearest else F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi)
+
+    return found.select(*[F.when(F.col(f"__n{i}").isNotNull(), F.array(*[value(i, j, p) for j, p in enumerate(positions(F.col(f"__n{i}")))])).alias(c) for i, c in enumerate(columns)])
+
+
 def quantile(df: DataFrame, q: float, columns: list[str], nearest: bool = False) -> DataFrame:
     """Linear interpolation, or the value of nearest rank."""
     if not 0 <= q <= 1:
         raise ValueError("q must lie in [0, 1]")
-    fn = (lambda c: F.percentile_approx(c, F.lit(q), F.lit(2_000_000))) if nearest else (lambda c: F.percentile(c, q))
-    return df.agg(*[fn(clean(df, c)).alias(c) for c in columns])
+    return at_shares(df, {c: clean(df, c) for c in columns}, [q], nearest).select(*[_c(c)[0].alias(c) for c in columns])
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """statistic, then a column of values for each numeric column; one aggregate, then an unpivot."""
+    """statistic, then a column of values for each numeric column; one row of aggregates and one of quartiles, then an unpivot."""
     columns = columns or numeric(df)
-    stats = {"count": F.count, "null_count": lambda c: F.count_if(c.isNull()), "mean": F.avg, "std": F.stddev_pop, "min": F.min, "25%": lambda c: F.percentile(c, 0.25), "50%": lambda c: F.percentile(c, 0.5), "75%": lambda c: F.percentile(c, 0.75), "max": F.max}
-    row = df.agg(*[F.array(*[F.struct(F.lit(n).alias("statistic"), fn(_c(c) if n == "null_count" else clean(df, c)).cast("double").alias("value")) for n, fn in stats.items()]).alias(c) for c in columns])
+    quarters = {"25%": 0, "50%": 1, "75%": 2}
+    stats = {"count": F.count, "null_count": lambda c: F.count_if(c.isNull()), "mean": F.avg, "std": F.stddev_pop, "min": F.min, **quarters, "max": F.max}
+    row = df.agg(*[fn(_c(c) if n == "null_count" else clean(df, c)).cast("double").alias(f"__{n}_{c}") for c in columns for n, fn in stats.items() if n not in quarters])
+    row = row.crossJoin(at_shares(df, {c: clean(df, c) for c in columns}, [0.25, 0.5, 0.75]))
+    row = row.select(*[F.array(*[F.struct(F.lit(n).alias("statistic"), (_c(c)[fn] if n in quarters else _c(f"__{n}_{c}")).alias("value")) for n, fn in stats.items()]).alias(c) for c in columns])
     z = row.select(F.explode(F.arrays_zip(*[_c(c) for c in columns])).alias("z"))
     return z.select(F.col("z")[columns[0]]["statistic"].alias("statistic"), *[F.col("z")[c]["value"].alias(c) for c in columns])
 

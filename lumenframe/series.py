@@ -103,12 +103,12 @@ class Series:
     def mean(self): return self._value(self._number().mean(), 0)
     def min(self): return self._extreme("min")
     def max(self): return self._extreme("max")
-    def median(self): return self._value(self._e.median(), 0)
+    def median(self): return self.quantile(0.5)
     def std(self): return self._value(self._e.std(), 0)
     def var(self): return self._value(self._e.var(), 0)
     def skew(self): return self._value(self._e.skew(), 0)
     def kurtosis(self): return self._value(self._e.kurtosis(), 0)
-    def quantile(self, q: float): return self._value(self._e.quantile(min(max(q, 0.0), 1.0)), 0)
+    def quantile(self, q: float): return (lambda v: 0 if v is None else v)(stats.quantile(self.frame.df, min(max(q, 0.0), 1.0), [self.name]).first()[0])
     def product(self): return self._value(self._e.product(), 0)
     def n_unique(self): return self._value(self._e.count_distinct(), 0)
     approx_n_unique = n_unique

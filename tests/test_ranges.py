@@ -1,12 +1,13 @@
 """Ordered passes that run range by range give what one pass gives."""
 
+import math
 import random
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe import Frame, col
+from lumenframe import Frame, LazyFrame, Series, col
 from lumenframe.operators import stats
 
 
@@ -103,3 +104,29 @@ def test_asof_ahead_is_one_pass(spark, strategy):
     got = {r["t"]: r["v"] for r in f.to_spark().collect()}
     split = 3 if strategy == "forward" else 5
     assert got == {t: "x3" if t <= split else "x7" if t <= 7 or strategy == "nearest" else None for t in range(12)}
+
+
+@pytest.mark.parametrize("sketch", [1, 2000])
+def test_quantiles_do_not_gather_all_values(spark, monkeypatch, sketch):
+    """Poor cuts (a sketch of accuracy 1) change how much is grouped, not the result."""
+    monkeypatch.setattr(stats, "SKETCH", sketch, raising=False)
+    rng, nan = random.Random(7), float("nan")
+    rows = [(rng.choice([None, nan, 15.0, 15.0, rng.gauss(0, 1), 1e300 * rng.random(), float("inf")]), rng.choice([None, *range(40)]), None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "d double, i long, e double").repartition(5)
+    known = {c: sorted(v for r in rows if (v := r["die".index(c)]) is not None and v == v) for c in "die"}
+
+    def linear(v, q):
+        p = q * (len(v) - 1)
+        lo, hi = v[int(p)], v[min(int(p) + 1, len(v) - 1)] if p % 1 else v[int(p)]
+        return float(lo) if lo == hi else (int(p) + 1 - p) * lo + (p - int(p)) * hi
+
+    for q in (0.0, 0.3, 0.97):
+        got = LazyFrame(df).quantile(q)
+        assert "percentile(" not in got.explain("formatted")
+        assert got.rows() == [(linear(known["d"], q), linear(known["i"], q), None)]
+        near = [known[c][max(math.ceil(q * len(known[c])) - 1, 0)] for c in "di"]
+        assert Frame(df).quantile(q).rows() == [(*near, None)]
+    assert "percentile(" not in Frame(df).describe().explain("formatted") and "percentile(" not in Frame(df).median().explain("formatted")
+    parts = Frame(df).describe().select("statistic", "d", "i").rows()
+    assert {n: (d, i) for n, d, i in parts if n.endswith("%")} == {f"{int(q * 100)}%": (linear(known["d"], q), linear(known["i"], q)) for q in (0.25, 0.5, 0.75)}
+    assert Series(Frame(df), "i").quantile(0.3) == linear(known["i"], 0.3) and Series(Frame(df), "e").median() == 0
